@@ -1,2 +1,30 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the language data problems."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm.consensus import consensus, finding_votes
+from folioscope.llm.encode import encode
+from folioscope.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _ = consensus(finding_votes(table(spark, sf_dir, "findings"), table(spark, sf_dir, "judgments")))
+    return items.select(F.col("item").alias("finding_id"), "verdict")
+
+
+def p3_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, judges = consensus(finding_votes(table(spark, sf_dir, "findings"), table(spark, sf_dir, "judgments")))
+    return judges
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_judges": p3_judges, "p8_ids": p8_ids}
+SQL: dict[str, str] = {}
