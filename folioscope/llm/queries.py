@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.consensus import consensus, finding_votes
 from folioscope.llm.encode import encode
+from folioscope.llm.packing import pack
 from folioscope.session import table
 
 
@@ -26,5 +27,9 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_judges": p3_judges, "p8_ids": p8_ids}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_profiles"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_judges": p3_judges, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
