@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.consensus import consensus, finding_votes
 from folioscope.llm.encode import encode
+from folioscope.llm.lookalike import canonical_texts, hidden_quotes
 from folioscope.llm.packing import pack
 from folioscope.session import table
 
@@ -23,6 +24,17 @@ def p3_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judges
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_quotes(table(spark, sf_dir, "findings"), table(spark, sf_dir, "blocks"))
+
+
+def p7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding's quote in its canonical spelling and in the form that look-alike texts share."""
+    quotes = table(spark, sf_dir, "findings").select("id", F.col("verbatim_quote").alias("text")).dropDuplicates(["id"])
+    forms = canonical_texts(quotes, table(spark, sf_dir, "blocks").select("text"))
+    return forms.select(F.col("id").alias("finding_id"), "canonical", "form")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]))
 
@@ -31,5 +43,5 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_profiles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_judges": p3_judges, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
