@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.consensus import consensus, finding_votes
 from folioscope.llm.encode import encode
+from folioscope.llm.link import link
 from folioscope.llm.lookalike import canonical_texts, hidden_quotes
 from folioscope.llm.names import resolve_names, same_names
 from folioscope.llm.packing import pack
@@ -23,6 +24,14 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_names(table(spark, sf_dir, "citation_records").dropDuplicates(["rec_id"]))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_links(spark, sf_dir).select("rec_id", "identifier")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "citation_records"), table(spark, sf_dir, "resolver_metadata"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = consensus(finding_votes(table(spark, sf_dir, "findings"), table(spark, sf_dir, "judgments")))
     return items.select(F.col("item").alias("finding_id"), "verdict")
@@ -52,5 +61,5 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_profiles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
