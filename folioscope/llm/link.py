@@ -56,6 +56,7 @@ def title_tokens(title: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     words, numbers = [], []
     for w in re.findall(r"[一-鿿]+|[^\W_一-鿿]+", plain(title)):
         if "一" <= w[0] <= "鿿":
+            w = w.replace("的", "") or w
             words.extend(w[i : i + 2] for i in range(max(1, len(w) - 1)))
         elif w.isdigit() or w in ROMAN:
             numbers.append(w)

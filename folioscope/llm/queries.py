@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.consensus import consensus, finding_votes
 from folioscope.llm.encode import encode
+from folioscope.llm.language import identify, relabelled
 from folioscope.llm.link import link
 from folioscope.llm.lookalike import canonical_texts, hidden_quotes
 from folioscope.llm.names import resolve_names, same_names
@@ -61,5 +62,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_profiles"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relabelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_codes"))
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_codes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_languages": p10_languages}
 SQL: dict[str, str] = {}
