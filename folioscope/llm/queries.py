@@ -13,6 +13,7 @@ from folioscope.llm.language import identify, relabelled
 from folioscope.llm.link import link
 from folioscope.llm.lookalike import canonical_texts, hidden_quotes
 from folioscope.llm.names import resolve_names, same_names
+from folioscope.llm.neardup import duplicate_classes, duplicate_pairs
 from folioscope.llm.packing import pack
 from folioscope.session import table
 
@@ -43,6 +44,15 @@ def p3_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judges
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = duplicate_pairs(table(spark, sf_dir, "findings"), "id", ["verbatim_quote", "rationale"])
+    return pairs.select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "findings"), "id", ["verbatim_quote", "rationale"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_quotes(table(spark, sf_dir, "findings"), table(spark, sf_dir, "blocks"))
 
@@ -70,5 +80,5 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_codes"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_judges": p3_judges, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_entities": p1_entities, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_judges": p3_judges, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_quotes": p7_quotes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_languages": p10_languages}
 SQL: dict[str, str] = {}
