@@ -1,6 +1,7 @@
 """Matching records to works without a common key: regularised Gaussian mixtures over similarity vectors, fitted without labels.
 
-Candidates share four of the six rarest title tokens. A pair's vector is (title, authors, year) similarity; a component whose
+Candidates share five of the six rarest title tokens, or three of the five rarest and an author; where either side names nobody,
+four of the six rarest. A pair's vector is (title, authors, year) similarity; a component whose
 field is null on either side takes no part in its density. Expectation-maximisation fits one Gaussian to matched and one to
 unmatched pairs, variances shrunk towards the common variance. Different works never are the same work, so if a record matched
 two works transitivity would be broken: in every expectation step a record's posteriors compete and sum to one at most.
@@ -27,7 +28,8 @@ STOP = {"a", "an", "and", "at", "for", "from", "in", "of", "on", "the", "to", "w
 ROMAN = {"i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"}
 #: Counts of title tokens are kept in so many cells, whatever the data; tokens that share a cell only share their rank.
 CELLS = 1 << 17
-RARE, OF = 6, 4
+#: Blocking: token subsets (of so many rarest, so many) alone, beside an author, and where one side has no authors.
+ALONE, WITH_AUTHOR, NO_AUTHOR = (6, 5), (5, 3), (6, 4)
 DIMS = ("title", "authors", "year")
 #: Prior weight of the common variance in each Gaussian's variance, and the least variance.
 SHRINK, FLOOR = 0.03, 0.001
@@ -131,7 +133,7 @@ def described(records: DataFrame, key: str, raw: str | None = None) -> DataFrame
 
 
 def candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, title, authors, year): pairs with four common rare title tokens, and their similarity vectors."""
+    """(left_key, right_key, title, authors, year): pairs that share a blocking key and half of the shorter title, and their similarity vectors."""
     counted = right.select(F.explode("tokens").alias("token"))
 
     @F.pandas_udf("int")
@@ -143,21 +145,36 @@ def candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
         counts[r["c"]] = min(r["n"], 2**31 - 1)
     shared = left.sparkSession.sparkContext.broadcast(counts)
 
-    @F.pandas_udf("array<bigint>")
-    def keys(tokens: pd.Series) -> pd.Series:
-        out = []
-        for ts in tokens:
-            known = {t: shared.value[cell(t)] for t in ts}
-            rare = sorted((t for t in known if known[t]), key=lambda t: (known[t], t))[:RARE]
-            size = max(1, min(OF, len(rare) - 1))
-            out.append([xxhash.xxh64_intdigest("|".join(sorted(c))) - 2**63 for c in itertools.combinations(rare, size)] if rare else [])
-        return pd.Series(out, index=tokens.index, dtype=object)
-
-    lk = left.select(left_key, "tokens", F.explode(keys("tokens")).alias("key"))
-    rk = right.select(right_key, F.col("tokens").alias("tokens_b"), F.explode(keys("tokens")).alias("key"))
-    common = F.size(F.array_intersect("tokens", "tokens_b"))
-    pairs = lk.join(rk, "key").where(common >= 0.5 * F.least(F.size(F.array_distinct("tokens")), F.size(F.array_distinct("tokens_b")))).select(left_key, right_key).distinct()
+    def subsets(rare: list[str], of: tuple[int, int]) -> list[str]:
+        rare = rare[: of[0]]
+        return ["|".join(sorted(c)) for c in itertools.combinations(rare, max(1, min(of[1], len(rare) - 1)))] if rare else []
+
+    def keys(listed: bool):
+        """Blocking keys of a side: works are listed for records without authors under *, records ask for works without under ?."""
+
+        @F.pandas_udf("array<bigint>")
+        def of(tokens: pd.Series, people: pd.Series) -> pd.Series:
+            out = []
+            for ts, ps in zip(tokens, people):
+                known = {t: shared.value[cell(t)] for t in ts}
+                rare = sorted((t for t in known if known[t]), key=lambda t: (known[t], t))
+                heads = {w[:4] for p in ps for w in p.split(" ")}
+                found = [f"={c}" for c in subsets(rare, ALONE)]
+                found += [f"{h}:{c}" for c in subsets(rare, WITH_AUTHOR) for h in heads]
+                marks = ["*"] * (listed or not heads) + ["?"] * (not listed or not heads)
+                found += [f"{m}:{c}" for c in subsets(rare, NO_AUTHOR) for m in marks]
+                out.append([xxhash.xxh64_intdigest(k) - 2**63 for k in found])
+            return pd.Series(out, index=tokens.index, dtype=object)
+
+        return of
+
+    lk = left.select(left_key, "tokens", F.explode(keys(False)("tokens", "people")).alias("key"))
+    rk = right.select(right_key, F.col("tokens").alias("tokens_b"), F.explode(keys(True)("tokens", "people")).alias("key"))
+    lk, rk = lk.select(left_key, "key"), rk.select(right_key, "key")
+    pairs = written(lk.join(rk, "key").select(left_key, right_key).distinct(), "blocked")
     pairs = pairs.join(left, left_key).join(right.select(right_key, *[F.col(c).alias(c + "_b") for c in ("tokens", "numbers", "people", "year")]), right_key)
+    common = F.size(F.array_intersect("tokens", "tokens_b"))
+    pairs = pairs.where(common >= 0.5 * F.least(F.size(F.array_distinct("tokens")), F.size(F.array_distinct("tokens_b"))))
 
     @F.pandas_udf("title double, authors double, year double")
     def vector(ta: pd.Series, na: pd.Series, pa: pd.Series, ya: pd.Series, tb: pd.Series, nb: pd.Series, pb: pd.Series, yb: pd.Series) -> pd.DataFrame:
