@@ -28,7 +28,7 @@ SLOTS, HASHES = 1 << 21, 3
 ORDERS = (3, 5)
 #: An n-gram belongs to a language in which it is in two sampled documents or more, and in at least this share of the documents
 #: of the language that has it most often (in proportion).
-LEAST_DOCS, LEAST_SHARE = 2, 0.12
+LEAST_DOCS, LEAST_SHARE = 2, 0.3
 #: Grams of advantage that a change of language must bring.
 CHANGE = 12.0
 #: A sentence of fewer letters (a reference's number and author, say) has no say beside longer ones; a Han character counts for four.
@@ -219,7 +219,7 @@ def identify(documents: DataFrame, languages: DataFrame, docs: int = TRAIN_DOCS)
                 out.extend((doc, 0 if len(found) == 1 else i, codes[k], conf, n, label) for i, (k, conf, n) in enumerate(found, 1))
             yield pd.DataFrame(out, columns=["doc_id", "seg_no", "lang", "confidence", "n_chars", "label"])
 
-    source = documents.where("length(text) > 0").select("doc_id", "text", label_code(F.col("lang"), labels).alias("label")).dropDuplicates(["doc_id"])
+    source = documents.where("length(text) > 0 and doc_id is not null").select("doc_id", "text", label_code(F.col("lang"), labels).alias("label")).dropDuplicates(["doc_id"])
     return spread(source).mapInPandas(read, "doc_id bigint, seg_no int, lang string, confidence double, n_chars bigint, label string")
 
 

@@ -128,7 +128,7 @@ def described(records: DataFrame, key: str, raw: str | None = None) -> DataFrame
             yield pd.DataFrame(out, columns=[key, "tokens", "numbers", "people", "year"]).astype({"year": "Int32"})
 
     kind = dict(records.dtypes)[key]
-    source = records.select(key, "title", "authors", "year", F.col(raw) if raw else F.lit(None).cast("string").alias("raw"))
+    source = records.where(F.col(key).isNotNull()).select(key, "title", "authors", "year", F.col(raw) if raw else F.lit(None).cast("string").alias("raw"))
     return spread(source).mapInPandas(read, f"{key} {kind}, {SIDE}")
 
 
@@ -260,7 +260,7 @@ def posteriors(group: np.ndarray, x: np.ndarray, model: dict) -> np.ndarray:
 def link(records: DataFrame, works: DataFrame, least: float = 0.5) -> DataFrame:
     """(rec_id, identifier, confidence): the works that records (rec_id, title, authors, year, raw) describe, at least `least` sure.
 
-    Keys that repeat count once. A record without title and raw text, or whose title shares too little with any work, has no row;
+    Keys that repeat count once, rows without key not at all. A record without title and raw text, or whose title shares too little with any work, has no row;
     empty tables give no rows. Other columns are ignored.
     """
     left = written(described(records.dropDuplicates(["rec_id"]), "rec_id", "raw"), "records")

@@ -58,7 +58,7 @@ def _sets(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
                     rows.append((k, xxhash.xxh64_intdigest(np.array(tokens, np.int64).tobytes()) - 2**63, tokens))
             yield pd.DataFrame(rows, columns=[key, "sid", "tokens"])
 
-    return spread(records.select(key, *columns)).mapInPandas(read, f"{key} {dict(records.dtypes)[key]}, sid bigint, tokens array<bigint>")
+    return spread(records.where(F.col(key).isNotNull()).select(key, *columns)).mapInPandas(read, f"{key} {dict(records.dtypes)[key]}, sid bigint, tokens array<bigint>")
 
 
 def _least(a, b, t: Fraction):
@@ -187,7 +187,7 @@ def near_duplicates(records: DataFrame, key: str, columns: list[str], least: flo
     """((key, sid), (sid_a, sid_b, similarity)): every record's set, and the links between different sets.
 
     Records of one sid have equal words. Nulls count as empty texts, records without a word have no set and so no row, keys that
-    repeat count once; other columns are ignored.
+    repeat count once and null keys not at all; other columns are ignored.
     """
     sets = written(_sets(records.dropDuplicates([key]), key, columns), "sets")
     one = sets.groupBy("sid").agg(F.first("tokens").alias("tokens"))
