@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioscope.functions.text import WS
 from folioscope.operators import findings as f
 from folioscope.plans.registry import Registry
+from folioscope.sources.reports import markdown
 
 R = Registry()
 FI = "f AS (SELECT DISTINCT * FROM findings)"
@@ -78,4 +79,10 @@ R.add(
 FROM f JOIN gate ON f.id = gate.id JOIN exact ON f.id = exact.id JOIN err ON f.id = err.id GROUP BY 1, 2""",
 )
 
+R.add(
+    "report", "findings", markdown,
+    f"""WITH {FI}, l AS (SELECT doc_id, {SEV} AS s, -coalesce(confidence, 0) AS c, seq, '- **' || coalesce(severity, '?') || '** ' || coalesce(issue_type, 'other') || ' (' || coalesce(array_to_string(block_ids, ', '), '?') || '): ' || {NORM.format("coalesce(rationale, verbatim_quote, '')")} AS line FROM f)
+SELECT doc_id, count(*) AS n, '# ' || doc_id || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY s, c, seq, line) AS report FROM l GROUP BY 1""",
+)
+
 QUERIES, SQL = R.queries, R.sql
