@@ -33,7 +33,7 @@ ALONE, WITH_AUTHOR, NO_AUTHOR = (6, 5), (5, 3), (6, 4)
 DIMS = ("title", "authors", "year")
 #: Prior weight of the common variance in each Gaussian's variance, and the least variance.
 SHRINK, FLOOR = 0.03, 0.001
-SIDE = "tokens array<string>, numbers array<string>, people array<string>, year int"
+SIDE = "tokens array<string>, main int, numbers array<string>, people array<string>, year int"
 
 
 def title_of(raw: str | None) -> str:
@@ -110,7 +110,7 @@ def year_similarity(a, b) -> float | None:
 
 
 def described(records: DataFrame, key: str, raw: str | None = None) -> DataFrame:
-    """(key, tokens, numbers, people, year); a blank title, a missing year and missing authors are read from raw if there is one."""
+    """(key, tokens, main, numbers, people, year), main the number of tokens before a subtitle; a blank title, a missing year and missing authors are read from raw if there is one."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -118,14 +118,15 @@ def described(records: DataFrame, key: str, raw: str | None = None) -> DataFrame
             for k, title, authors, year, text in b.itertuples(index=False, name=None):
                 title = title if isinstance(title, str) and title.strip() else title_of(text)
                 tokens, numbers = title_tokens(title)
+                main = len(title_tokens(re.split(r":\s|[—–]\s", title, maxsplit=1)[0])[0])
                 people = []
                 for name in authors if authors is not None else []:
                     kind, family, given, _, _, unsure = parse(name)
                     if kind != "none":
                         people.append(" ".join(sorted((family, given))) if unsure else family.replace(" ", "_"))
                 year = int(year) if year is not None and year == year else year_of(text)
-                out.append((k, list(tokens), list(numbers), people, year))
-            yield pd.DataFrame(out, columns=[key, "tokens", "numbers", "people", "year"]).astype({"year": "Int32"})
+                out.append((k, list(tokens), main, list(numbers), people, year))
+            yield pd.DataFrame(out, columns=[key, "tokens", "main", "numbers", "people", "year"]).astype({"year": "Int32"})
 
     kind = dict(records.dtypes)[key]
     source = records.where(F.col(key).isNotNull()).select(key, "title", "authors", "year", F.col(raw) if raw else F.lit(None).cast("string").alias("raw"))
@@ -153,23 +154,25 @@ def candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
         """Blocking keys of a side: works are listed for records without authors under *, records ask for works without under ?."""
 
         @F.pandas_udf("array<bigint>")
-        def of(tokens: pd.Series, people: pd.Series) -> pd.Series:
+        def of(tokens: pd.Series, main: pd.Series, people: pd.Series) -> pd.Series:
             out = []
-            for ts, ps in zip(tokens, people):
-                known = {t: shared.value[cell(t)] for t in ts}
-                rare = sorted((t for t in known if known[t]), key=lambda t: (known[t], t))
+            for ts, m, ps in zip(tokens, main, people):
                 heads = {w[:4] for p in ps for w in p.split(" ")}
-                found = [f"={c}" for c in subsets(rare, ALONE)]
-                found += [f"{h}:{c}" for c in subsets(rare, WITH_AUTHOR) for h in heads]
                 marks = ["*"] * (listed or not heads) + ["?"] * (not listed or not heads)
-                found += [f"{m}:{c}" for c in subsets(rare, NO_AUTHOR) for m in marks]
-                out.append([xxhash.xxh64_intdigest(k) - 2**63 for k in found])
+                found = set()
+                for part in (ts, ts[:m]) if listed and 3 <= m < len(ts) else (ts,):  # a record may leave a work's subtitle out
+                    known = {t: shared.value[cell(t)] for t in part}
+                    rare = sorted((t for t in known if known[t]), key=lambda t: (known[t], t))
+                    found |= {f"={c}" for c in subsets(rare, ALONE)}
+                    found |= {f"{h}:{c}" for c in subsets(rare, WITH_AUTHOR) for h in heads}
+                    found |= {f"{k}:{c}" for c in subsets(rare, NO_AUTHOR) for k in marks}
+                out.append([xxhash.xxh64_intdigest(k) - 2**63 for k in sorted(found)])
             return pd.Series(out, index=tokens.index, dtype=object)
 
         return of
 
-    lk = left.select(left_key, "tokens", F.explode(keys(False)("tokens", "people")).alias("key"))
-    rk = right.select(right_key, F.col("tokens").alias("tokens_b"), F.explode(keys(True)("tokens", "people")).alias("key"))
+    lk = left.select(left_key, "tokens", F.explode(keys(False)("tokens", "main", "people")).alias("key"))
+    rk = right.select(right_key, F.col("tokens").alias("tokens_b"), F.explode(keys(True)("tokens", "main", "people")).alias("key"))
     lk, rk = lk.select(left_key, "key"), rk.select(right_key, "key")
     pairs = written(lk.join(rk, "key").select(left_key, right_key).distinct(), "blocked")
     pairs = pairs.join(left, left_key).join(right.select(right_key, *[F.col(c).alias(c + "_b") for c in ("tokens", "numbers", "people", "year")]), right_key)
