@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from folioscope.functions.text import norm_ws, plain, word_set
+from folioscope.operators.structure import numbered_sections
 
 
 def claims(marks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -35,12 +36,7 @@ def chunks(blocks: DataFrame, most: int = 3500) -> DataFrame:
     A block longer than that is a chunk of its own. Sections open at headings of level 2 or less. Sections are read in order from
     sorted partitions, a batch at a time; only the open chunk is held.
     """
-    b = blocks.dropDuplicates(["doc_id", "block_id"]).where("not is_bibliography and length(text) > 0")
-    cuts = b.where("kind = 'heading' and heading_level <= 2").select("doc_id", F.col("pos").alias("cut"))
-    w = W.partitionBy("doc_id").orderBy("cut")
-    cuts = cuts.withColumn("section_no", F.row_number().over(w)).withColumn("until", F.lead("cut").over(w))
-    inside = F.expr("b.doc_id = c.doc_id AND b.pos >= c.cut AND (c.until IS NULL OR b.pos < c.until)")
-    j = b.alias("b").join(cuts.alias("c"), inside, "left").select("b.doc_id", F.coalesce("c.section_no", F.lit(0)).alias("section_no"), "b.pos", F.length("b.text").alias("n"))
+    j = numbered_sections(blocks.where("not is_bibliography and length(text) > 0")).select("doc_id", "section_no", "pos", F.length("text").alias("n"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, chunk = None, None

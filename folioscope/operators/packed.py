@@ -26,7 +26,7 @@ YEAR_ONLY = r"(?:1[5-9]|20|21)\d{2}"
 YEAR = YEAR_ONLY + "[a-z]?"
 #: A piece is regular if it begins and ends as a value of its notation does; empty places are not counted.
 REGULAR = {
-    "num": r"^[\s,;，；、]*\d(?:.*\d)?[\s,;，；、]*$",
+    "num": r"^[\s,;，；、\ue000-\ue003]*\d(?:.*\d)?[\s,;，；、\ue000-\ue003]*$",
     "ay_key": rf"(?s)^\s*(?:[^|]*\p{{L}}[^|]*\|\s*{YEAR}|{YEAR})(?:.*{YEAR})?\s*$",
     "ay_raw": rf"(?s)^\s*[\p{{L}}].*{YEAR}\s*$",
 }

@@ -1,16 +1,16 @@
 """Headings, sections, captions, cross-references and terms of manuscripts, from `blocks` keyed by (doc_id, block_id).
 
-Order is the column pos; repeated rows of a block count once. Running values over a document are windows, so a long document
-is sorted and spilled, never held; where a document may hold a third of all rows, its windows only carry headings.
+Order is the column pos; repeated rows of a block count once. Running values over a document come from `running`, which never
+holds a whole document in a window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from folioscope.functions.text import norm_ws, slug, word_set
+from folioscope.operators.running import running_last, running_sum
 
 #: Headings of reference lists and of the sections every manuscript needs (fixed values).
 BIBLIOGRAPHY = r"(?i)^(?:\d+[.\s]*)?(?:references?|bibliography|literature cited|参考文献|literatur(?:verzeichnis)?|références|bibliographie|referencias|bibliografía)\s*$"
@@ -85,25 +85,22 @@ def heading_gaps(blocks: DataFrame) -> DataFrame:
 
 
 def bibliography_region(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, in_region): whether the last heading of level 3 or less before a block opens a reference list; headings never are inside.
+    """(doc_id, block_id, in_region): whether the last heading of level 3 or less before a block opens a reference list; headings never are inside."""
+    opens = F.when((F.col("kind") == "heading") & (F.col("heading_level") <= 3), F.coalesce(F.col("text").rlike(BIBLIOGRAPHY), F.lit(False)))
+    b = running_last(blocks_of(blocks).select("doc_id", "block_id", "pos", "kind", "heading_level", "text"), "doc_id", "pos", opens, "open")
+    return b.select("doc_id", "block_id", ((F.col("kind") != "heading") & F.coalesce("open", F.lit(False))).alias("in_region"))
 
-    Only headings are ranged by window: every block is joined to the stretch of its document that it lies in.
-    """
-    b = blocks_of(blocks)
-    h = b.where("kind = 'heading' and heading_level <= 3").select("doc_id", "pos", F.coalesce(F.col("text").rlike(BIBLIOGRAPHY), F.lit(False)).alias("opens"))
-    stretch = h.withColumn("until", F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos"))).where("opens").select("doc_id", F.col("pos").alias("after"), "until")
-    inside = b.where("kind <> 'heading'").join(stretch, "doc_id").where("pos > after and (until is null or pos < until)").select("doc_id", "block_id").distinct().withColumn("in_region", F.lit(True))
-    return b.select("doc_id", "block_id").join(inside, ["doc_id", "block_id"], "left").select("doc_id", "block_id", F.coalesce("in_region", F.lit(False)).alias("in_region"))
+
+def numbered_sections(blocks: DataFrame) -> DataFrame:
+    """Blocks with section_no, the number of headings of level 2 or less up to and with each."""
+    cut = ((F.col("kind") == "heading") & (F.col("heading_level") <= 2)).cast("int")
+    b = running_sum(blocks_of(blocks).select("doc_id", "block_id", "pos", "kind", "text", "heading_level", "is_bibliography"), "doc_id", "pos", F.coalesce(cut, F.lit(0)), "section_no")
+    return b.withColumn("section_no", F.col("section_no").cast("int"))
 
 
 def sections(blocks: DataFrame) -> DataFrame:
     """(doc_id, section_no, first_pos, n_blocks, n_chars): stretches between headings of level 2 or less; 0 is what precedes the first."""
-    b = blocks_of(blocks)
-    cut = b.where("kind = 'heading' and heading_level <= 2").select("doc_id", F.col("pos").alias("cut"))
-    no = cut.withColumn("section_no", F.row_number().over(W.partitionBy("doc_id").orderBy("cut"))).withColumn("until", F.lead("cut").over(W.partitionBy("doc_id").orderBy("cut")))
-    inside = F.expr("b.doc_id = c.doc_id AND b.pos >= c.cut AND (c.until IS NULL OR b.pos < c.until)")
-    j = b.alias("b").join(no.alias("c"), inside, "left").select("b.doc_id", "b.pos", "b.text", F.coalesce("c.section_no", F.lit(0)).alias("section_no"))
-    return j.groupBy("doc_id", "section_no").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_blocks"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("n_chars"))
+    return numbered_sections(blocks).groupBy("doc_id", "section_no").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_blocks"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("n_chars"))
 
 
 def outline(blocks: DataFrame) -> DataFrame:

@@ -100,3 +100,14 @@ def test_sessions_over_midnight(spark):
     at = lambda h, m: dt.datetime(2026, 1, 1 + h // 24, h % 24, m)
     e = spark.createDataFrame([(1, at(23, 50), 7, "x", 1.0, ""), (2, at(24, 10), 7, "x", 1.0, ""), (3, at(26, 0), 7, "x", 1.0, ""), (4, at(1, 0), 8, "x", 1.0, "")], "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
     assert rows(logs.sessions(e).select("user_id", "session_no", "n")) == [(7, 1, 2), (7, 2, 1), (8, 1, 1)]
+
+
+def test_running_values_over_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.running import running_last, running_sum
+
+    data = [("a", i, None if i % 5 else i) for i in range(40)] + [("b", 3, None), ("b", 9, 1)]
+    df = spark.createDataFrame(data, "k string, i int, v int")
+    got = {(r.k, r.i): (r.last, r.total) for r in running_sum(running_last(df, "k", "i", F.col("v"), "last", 7), "k", "i", F.coalesce("v", F.lit(0)), "total", 7).collect()}
+    assert got == {("a", i): (i - i % 5, sum(range(0, i + 1, 5))) for i in range(40)} | {("b", 3): (None, 0), ("b", 9): (1, 1)}
