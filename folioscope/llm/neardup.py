@@ -1,8 +1,10 @@
 """Near-duplicate records: exact set-similarity join of word multisets with set-relation skipping.
 
 A record's set holds each word with its number of occurrence, so set similarity is multiset similarity. Sets are ordered from
-rare to frequent words and indexed by a prefix that every similar set must meet. Answers of equal sets are derived from one
-representative, which alone is looked up. An index list is kept by position of the word in its set and by set size within a
+rare to frequent words and indexed by a prefix that every similar set must meet. Equal sets have one representative. A set that
+shares its longest field with another one (the leader) and differs from it in up to NEAR words either way is not looked up: the
+leader is, with an overlap lower by NEAR, and the follower's answers are derived from the leader's, adding and subtracting
+what the few differing words have in common with each answer. An index list is kept by position of the word in its set and by set size within a
 position; for a probing set, sizes and positions that can't reach the overlap any more are one contiguous range a block each
 and are skipped unread. What is left is tested by bitmaps of 256 bits, and only the few that pass are verified on their words.
 """
@@ -26,6 +28,8 @@ from folioscope.session import spread, written
 CELLS = 1 << 17
 #: Index lists are split into blocks of about so many sets; blocks meet in pairs.
 BLOCK = 4096
+#: Words that a follower may have beyond its leader, and the leader beyond it.
+NEAR = 2
 #: Pairs tested at once.
 CHUNK = 1 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -46,8 +50,12 @@ def hashed(words: list[str]) -> list[int]:
     return out
 
 
+def digest(tokens: list[int]) -> int:
+    return xxhash.xxh64_intdigest(np.array(tokens, np.int64).tobytes()) - 2**63
+
+
 def _sets(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, sid, tokens): the set of every record that has a word; sid is the set's own hash."""
+    """(key, sid, core, tokens): the set of every record that has a word; sid is the set's own hash, core that of its longest field's words."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -55,10 +63,11 @@ def _sets(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
             for k, *texts in b.itertuples(index=False, name=None):
                 tokens = sorted(hashed(words_of(*texts)))
                 if tokens:
-                    rows.append((k, xxhash.xxh64_intdigest(np.array(tokens, np.int64).tobytes()) - 2**63, tokens))
-            yield pd.DataFrame(rows, columns=[key, "sid", "tokens"])
+                    core = max((sorted(hashed(words_of(t))) for t in texts), key=len)
+                    rows.append((k, digest(tokens), digest(core), tokens))
+            yield pd.DataFrame(rows, columns=[key, "sid", "core", "tokens"])
 
-    return spread(records.where(F.col(key).isNotNull()).select(key, *columns)).mapInPandas(read, f"{key} {dict(records.dtypes)[key]}, sid bigint, tokens array<bigint>")
+    return spread(records.where(F.col(key).isNotNull()).select(key, *columns)).mapInPandas(read, f"{key} {dict(records.dtypes)[key]}, sid bigint, core bigint, tokens array<bigint>")
 
 
 def _least(a, b, t: Fraction):
@@ -80,9 +89,10 @@ def _meets(s: dict, l: dict, t: Fraction, first: np.ndarray, end: np.ndarray) ->
             i = np.repeat(np.arange(row, stop), m)
             j = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[row:stop], m)
             a, b = s["n"][i], l["n"][j]
-            need = _least(a, b, t)
-            ok = (a < b) | (a == b) & (s["sid"][i] < l["sid"][j])
-            ok &= (b * t.numerator <= a * t.denominator) & (a - s["pos"][i] >= need) & (b - l["pos"][j] >= need)
+            near = s["near"][i]
+            need = _least(a, b, t) - near
+            ok = (a < b) | (a == b) & (s["sid"][i] < l["sid"][j]) | (near > 0) & (a - near <= b) & (s["sid"][i] != l["sid"][j])
+            ok &= (b * t.numerator <= (a + near) * t.denominator) & (a - s["pos"][i] >= need) & (b - l["pos"][j] >= need)
             i, j, slack = i[ok], j[ok], (a + b - 2 * need)[ok]
             diff = np.zeros(len(i), np.int64)
             for c in BITS:
@@ -96,12 +106,12 @@ def _meets(s: dict, l: dict, t: Fraction, first: np.ndarray, end: np.ndarray) ->
 
 
 def _rows(b: pd.DataFrame, pick: np.ndarray) -> dict:
-    d = {c: b[c].to_numpy()[pick].astype(np.int64) for c in ("n", "pos", "sid")}
+    d = {c: b[c].to_numpy()[pick].astype(np.int64) for c in ("n", "pos", "sid", "near")}
     return d | {c: b[c].to_numpy()[pick].view(np.uint64) for c in BITS}
 
 
 def _probe(b: pd.DataFrame, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(smaller sid, larger sid) of candidates in whole index blocks, sorted by block, role, position and size (roles: 0 probes, 1 is listed)."""
+    """(probing sid, listed sid) of candidates in whole index blocks, sorted by block, role, position and size (roles: 0 probes, 1 is listed)."""
     block, role = b["block"].to_numpy(), b["role"].to_numpy()
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     ends = np.r_[starts[1:], len(block)]
@@ -124,14 +134,24 @@ def _probe(b: pd.DataFrame, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarra
         for a, z in zip(cut, np.r_[cut[1:], len(part["pos"])]):  # the block of one position, sorted by size
             j = int(part["pos"][a])
             sizes = part["n"][a:z]
-            least = np.maximum(s["n"], -(-((num + den) * j + num * s["n"]) // den))  # shorter ones end before the overlap is reached
-            most = np.minimum(s["n"] * den // num, ((s["n"] - s["pos"]) * (num + den)) // num - s["n"])  # longer ones need more than is left
+            r = s["near"]
+            least = np.maximum(s["n"] - r, -(-((num + den) * (j - r) + num * s["n"]) // den))  # shorter ones end before the overlap is reached
+            most = np.minimum((s["n"] + r) * den // num, ((s["n"] - s["pos"] + r) * (num + den)) // num - s["n"])  # longer ones need more than is left
             pairs = _meets(s, part, t, a + np.searchsorted(sizes, least, "left"), a + np.searchsorted(sizes, most, "right"))
             yield s["sid"][pairs[0]], part["sid"][pairs[1]]
 
 
+def followers(sets: DataFrame) -> DataFrame:
+    """(sid, leader, plus, minus): sets that differ from the least set of their core in up to NEAR words either way, and these words."""
+    leaders = sets.groupBy("core").agg(F.min("sid").alias("leader"), F.count("*").alias("n")).where("n > 1").select("core", "leader")
+    f = sets.join(leaders, "core").where("sid <> leader").select("sid", "leader", "tokens")
+    f = f.join(sets.select(F.col("sid").alias("leader"), F.col("tokens").alias("theirs")), "leader")
+    f = f.select("sid", "leader", F.array_except("tokens", "theirs").alias("plus"), F.array_except("theirs", "tokens").alias("minus"))
+    return f.where((F.size("plus") <= NEAR) & (F.size("minus") <= NEAR))
+
+
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """(sid_a, sid_b, similarity) of all pairs of different sets (sid, tokens) with at least this similarity, sid_a the smaller set."""
+    """(sid_a, sid_b, similarity) of all pairs of different sets (sid, core, tokens) with at least this similarity, sid_a before sid_b."""
     spark = sets.sparkSession
     t = Fraction(str(least)).limit_denominator(1000)
     mask = CELLS - 1
@@ -140,10 +160,15 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
         counts[r["cell"]] = r["count"]
     shared = spark.sparkContext.broadcast(counts)
 
+    follow = written(followers(sets), "followers")
+    led = follow.select(F.col("leader").alias("sid")).distinct().withColumn("near", F.lit(NEAR))
+    roles = sets.join(led, "sid", "left").join(follow.select("sid", F.lit(True).alias("follows")), "sid", "left")
+    roles = roles.select("sid", "tokens", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("follows", F.lit(False)).alias("follows"))
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for sid, tokens in zip(b["sid"], b["tokens"]):
+            for sid, tokens, near, follows in zip(b["sid"], b["tokens"], b["near"], b["follows"]):
                 tokens = np.asarray(tokens, np.int64)
                 n = len(tokens)
                 bits = np.zeros(256, np.uint8)
@@ -151,36 +176,41 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
                 words = np.packbits(bits).view(np.int64)
                 count = shared.value[tokens & mask]
                 order = np.lexsort((tokens, count))
-                as_larger = n + 1 - -((-n * t.numerator) // t.denominator)
-                as_smaller = n + 1 - int(_least(n, n, t))
-                for pos in range(as_larger):
+                # how far a similar set's first common word may stand: listed for any smaller set, probing for any larger one
+                listed = n + 1 - max(1, int(_least(n, -((-n * t.numerator) // t.denominator) - NEAR, t)) - NEAR)
+                probing = 0 if follows else n + 1 - max(1, int(_least(n, n - near, t)) - near)
+                for pos in range(min(n, max(listed, probing))):
                     token, c = int(tokens[order[pos]]), int(count[order[pos]])
                     if c < 2:
                         continue
                     parts = -(-c // BLOCK)
                     mine = sid % parts
                     for other in range(parts):
-                        if pos < as_smaller:
-                            out.append((hash((token, mine, other)), 0, pos, n, sid, *words))
-                        out.append((hash((token, other, mine)), 1, pos, n, sid, *words))
-            yield pd.DataFrame(out, columns=["block", "role", "pos", "n", "sid", *BITS])
+                        if pos < probing:
+                            out.append((hash((token, mine, other)), 0, pos, n, near, sid, *words))
+                        if pos < listed:
+                            out.append((hash((token, other, mine)), 1, pos, n, 0, sid, *words))
+            yield pd.DataFrame(out, columns=["block", "role", "pos", "n", "near", "sid", *BITS])
 
-    index = sets.mapInPandas(entries, "block bigint, role int, pos int, n int, sid bigint, " + ", ".join(f"{c} bigint" for c in BITS))
+    index = roles.mapInPandas(entries, "block bigint, role int, pos int, n int, near int, sid bigint, " + ", ".join(f"{c} bigint" for c in BITS))
     index = index.repartition("block").sortWithinPartitions("block", "role", "pos", "n")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole(batches, "block"):
             for a, z in _probe(b, t):
                 if len(a):
-                    yield pd.DataFrame({"sid_a": a, "sid_b": z}).drop_duplicates()
+                    yield pd.DataFrame({"probe": a, "listed": z}).drop_duplicates()
 
-    found = index.mapInPandas(probe, "sid_a bigint, sid_b bigint").distinct()
-    a, b = sets.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("tb"))
-    pairs = written(found, "candidates").join(a, "sid_a").join(b, "sid_b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - both
-    pairs = pairs.select("sid_a", "sid_b", both.alias("both"), union.alias("union")).where(F.col("both") * t.denominator >= F.col("union") * t.numerator)
-    return pairs.select("sid_a", "sid_b", (F.col("both") / F.col("union")).alias("similarity"))
+    found = written(index.mapInPandas(probe, "probe bigint, listed bigint").distinct(), "candidates")
+    a, b = sets.select(F.col("sid").alias("probe"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("listed"), F.col("tokens").alias("tb"))
+    answers = found.join(a, "probe").join(b, "listed").select("probe", "listed", "tb", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+    derived = answers.join(follow.withColumnRenamed("leader", "probe"), "probe").where("sid <> listed")
+    gain, loss = F.size(F.array_intersect("plus", "tb")), F.size(F.array_intersect("minus", "tb"))
+    derived = derived.select("sid", "listed", (F.col("na") + F.size("plus") - F.size("minus")).alias("na"), "nb", (F.col("both") + gain - loss).alias("both"))
+    pairs = answers.select(F.col("probe").alias("sid"), "listed", "na", "nb", "both").unionByName(derived)
+    union = F.col("na") + F.col("nb") - F.col("both")
+    pairs = pairs.withColumn("union", union).where(F.col("both") * t.denominator >= F.col("union") * t.numerator)
+    return pairs.groupBy(F.least("sid", "listed").alias("sid_a"), F.greatest("sid", "listed").alias("sid_b")).agg(F.first(F.col("both") / F.col("union")).alias("similarity"))
 
 
 def near_duplicates(records: DataFrame, key: str, columns: list[str], least: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +220,7 @@ def near_duplicates(records: DataFrame, key: str, columns: list[str], least: flo
     repeat count once and null keys not at all; other columns are ignored.
     """
     sets = written(_sets(records.dropDuplicates([key]), key, columns), "sets")
-    one = sets.groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    one = sets.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.min("core").alias("core"))
     return sets.select(key, "sid"), similar_sets(written(one, "representatives"), least)
 
 

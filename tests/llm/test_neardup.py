@@ -72,3 +72,25 @@ def test_classes(spark):
     for k in got:
         classes.setdefault(root(k), set()).add(got[k][0])
     assert all(len(v) == 1 for v in classes.values()) and len({v for s in classes.values() for v in s}) == len(classes) and got["Z1"][1] == 0
+
+
+def test_answers_of_followers(spark):
+    """Records that share one field and differ a little in the other get their answers from the least of them."""
+    r = random.Random(11)
+    rows = []
+    for g in range(25):
+        why = [f"w{r.randrange(90)}" for _ in range(r.randint(8, 14))]
+        quote = [f"q{r.randrange(40)}" for _ in range(r.randint(3, 7))]
+        for k in range(r.randint(1, 6)):
+            q, w = list(quote), list(why)
+            for _ in range(r.randint(0, 3)):
+                q[r.randrange(len(q))] = f"e{r.randrange(50)}"
+            if r.random() < 0.3:
+                w[r.randrange(len(w))] = f"e{r.randrange(50)}"
+            rows.append((f"F{len(rows):03d}", " ".join(q + ["x"] * r.randint(0, 2)), " ".join(w), 0, ""))
+    df = spark.createDataFrame(rows, S)
+    members = neardup._sets(df, "id", COLS).groupBy("sid").agg({"core": "min", "tokens": "first"}).toDF("sid", "core", "tokens")
+    assert neardup.followers(members).count() > 10
+    for least in (0.6, 0.7, 0.85):
+        got = [(x.a, x.b) for x in duplicate_pairs(df, "id", COLS, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, least)
