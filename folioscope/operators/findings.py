@@ -69,8 +69,8 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 def coverage(findings: DataFrame) -> DataFrame:
     """(doc_id, n_checks, share, n_findings): how many of all checklists a document's findings come from."""
     f = findings_of(findings).select("doc_id", F.substring_index("checklist_id", "/", -1).alias("check"))
-    total = f.agg(F.count_distinct("check").alias("total"))
-    return f.groupBy("doc_id").agg(F.count_distinct("check").alias("n_checks"), F.count("*").alias("n_findings")).join(F.broadcast(total)).select("doc_id", "n_checks", F.round(F.col("n_checks") / F.col("total"), 6).alias("share"), "n_findings")
+    total = f.agg(F.count_distinct("check").alias("n")).first()["n"] or 1
+    return f.groupBy("doc_id").agg(F.count_distinct("check").alias("n_checks"), F.count("*").alias("n_findings")).select("doc_id", "n_checks", F.round(F.col("n_checks") / F.lit(total), 6).alias("share"), "n_findings")
 
 
 def ranks(findings: DataFrame) -> DataFrame:
