@@ -140,7 +140,7 @@ def anchor_classes(findings: DataFrame) -> DataFrame:
     followed to its own label until nothing changes.
     """
     f = findings_of(findings).select("id", "doc_id", "block_ids")
-    at = f.select("id", F.concat_ws("/", "doc_id", "block").alias("spot")) if "block" in f.columns else f.select("id", "doc_id", F.explode("block_ids").alias("block")).select("id", F.concat_ws("/", "doc_id", "block").alias("spot"))
+    at = f.select("id", "doc_id", F.explode("block_ids").alias("block")).select("id", F.concat_ws("/", "doc_id", "block").alias("spot"))
     at = written(at.distinct(), "anchors")
     label = written(f.select("id", F.col("id").alias("label")), "labels")
     while True:
