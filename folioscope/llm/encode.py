@@ -7,7 +7,6 @@ at boundaries where the pre-splitting pattern cuts anyway, so their pieces' ids
 from __future__ import annotations
 
 import base64
-import importlib
 import os
 import re
 from collections.abc import Iterator
@@ -109,7 +108,3 @@ def decode(encoded: DataFrame, key: str = "doc_id", tokenizer: str = "byte_bpe_5
         return pd.Series([one(r) for r in ids], index=ids.index, dtype=object)
 
     return encoded.select(key, raw("ids").alias("raw")).withColumn("text", F.decode("raw", "UTF-8"))
-
-
-def pattern_of(package: str = "public_tokenizers") -> str:
-    return importlib.import_module(package).PATTERN
