@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window as W
 
 from folioscope.functions.text import norm_ws, plain, word_set
 from folioscope.operators.structure import numbered_sections
+from folioscope.session import spread
+
+#: Longs of a title's parity bits by the length of the character sequences they stand for; parts of a list of works (fixed values).
+SKETCH = {1: 4, 2: 8}
+PARTS = 8
 
 
 def claims(marks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -94,26 +102,53 @@ def differences(edits: DataFrame, blocks: DataFrame, findings: DataFrame) -> Dat
     return j.select("id", count("text", "new_text").alias("c")).select("id", "c.*")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def sketches(texts: pd.Series) -> pd.Series:
+    """Parity bits of the multisets of characters and of pairs of characters, as many longs of each as SKETCH says."""
+
+    def one(t: str) -> list[int]:
+        out: list[int] = []
+        for n, longs in SKETCH.items():
+            seen, bits = Counter(), 0
+            for i in range(len(t) - n + 1):
+                seen[t[i : i + n]] += 1
+                bits ^= 1 << zlib.crc32(f"{t[i : i + n]}{seen[t[i : i + n]]}".encode()) % (64 * longs)
+            out += [(bits >> 64 * k) % (1 << 64) - (1 << 63) for k in range(longs)]
+        return out
+
+    return texts.map(one)
+
+
 def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> DataFrame:
     """(rec_id, identifier, score): the work of most similar title of each record, if near enough.
 
-    Similarity is the sequence matcher's ratio of normalised titles less 0.2 for another year; candidates share the first two
-    words of the title or its last two.
+    Similarity is the sequence matcher's ratio of normalised titles less 0.2 for another year; titles without letter or digit have
+    none. No pair of a score of at least `least` is lost: where 0.2 less cannot reach it, works of another year are not looked at. If u
+    characters of both titles match nothing, their multisets of characters differ in at most u, those of pairs in at most 3u elements,
+    and parity bits of multisets differ in no more bits than the multisets in elements.
     """
-    key = lambda c: F.filter(F.split(plain(F.col(c)), " "), lambda w: w != "")
-    ends = lambda a: F.array(F.array_join(F.slice(a, 1, 2), " "), F.concat(F.lit("*"), F.array_join(F.slice(a, -2, 2), " ")))
-    r = records.dropDuplicates(["rec_id"]).withColumn("a", key("title")).where("size(a) >= 4").select("rec_id", F.array_join("a", " ").alias("ta"), F.col("year").alias("ya"), F.explode(ends(F.col("a"))).alias("k"), F.size("a").alias("na"))
-    w = works.dropDuplicates(["identifier"]).withColumn("a", key("title")).where("size(a) >= 4").select("identifier", F.array_join("a", " ").alias("tb"), F.col("year").alias("yb"), F.explode(ends(F.col("a"))).alias("k"), F.size("a").alias("nb"))
-    common = F.size(F.array_intersect(F.split("ta", " "), F.split("tb", " ")))
-    pairs = r.join(w, "k").where(common >= 0.6 * F.greatest("na", "nb")).select("rec_id", "identifier", "ta", "tb", "ya", "yb").distinct()
+    at_year = 1 - 0.2 < least
+    r = records.dropDuplicates(["rec_id"]).select("rec_id", plain(F.col("title")).alias("ta"), F.col("year").alias("ya")).where("ta <> ''")
+    w = works.dropDuplicates(["identifier"]).select("identifier", plain(F.col("title")).alias("tb"), F.col("year").alias("yb")).where("tb <> ''")
+    w = w.groupBy("tb", "yb").agg(F.max("identifier").alias("identifier"))
+    # works without year are listed under ?, all others under their year and, for records without year, under *
+    year = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    asked = F.array(year("ya", "*"), F.lit("?")) if at_year else F.array(F.lit(""))
+    listed = F.when(F.col("yb").isNull(), F.array(F.lit("?"))).otherwise(F.array(year("yb", "?"), F.lit("*"))) if at_year else F.array(F.lit(""))
+    titles = spread(r.select("ta", "ya").distinct()).select("ta", "ya", sketches("ta").alias("sa")).select("*", F.explode(asked).alias("k"), F.pmod(F.xxhash64("ta"), F.lit(PARTS)).alias("part"))
+    others = spread(w).select("identifier", "tb", "yb", sketches("tb").alias("sb")).select("*", F.explode(listed).alias("k")).select("*", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(PARTS)])).alias("part"))
+    most = (1 - least) * (F.length("ta") + F.length("tb")) + 1e-6
+    bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(sum(SKETCH.values()))]
+    near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (sum(bits[SKETCH[1] :], F.lit(0)) <= 3 * most) & (sum(bits[: SKETCH[1]], F.lit(0)) <= most)
+    pairs = spread(titles.join(others, ["k", "part"]).where(near).select("ta", "ya", "identifier", "tb", "yb"))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    s = pairs.select("rec_id", "identifier", (ratio("ta", "tb") - F.when(F.col("ya") != F.col("yb"), 0.2).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
-    best = s.groupBy("rec_id").agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
-    return best.select("rec_id", "x.identifier", F.round("x.score", 6).alias("score"))
+    s = pairs.select("ta", "ya", "identifier", (ratio("ta", "tb") - F.when(F.col("ya") != F.col("yb"), 0.2).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
+    best = s.groupBy(F.col("ta").alias("t"), F.col("ya").alias("y")).agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
+    return r.join(best, (F.col("ta") == F.col("t")) & F.col("ya").eqNullSafe(F.col("y"))).select("rec_id", "x.identifier", F.round("x.score", 6).alias("score"))
 
 
 def normal_texts(findings: DataFrame) -> DataFrame:

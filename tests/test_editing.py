@@ -37,6 +37,38 @@ def test_titles(spark):
     assert rows(editing.supports(records, works).select("rec_id", "status")) == [(1, "unsupported")]
 
 
+def test_titles_as_brute_force(spark):
+    import difflib
+    import random
+    import re
+
+    draw = random.Random(7)
+    words = ["gait", "analysis", "of", "sparse", "records", "trial", "ageing", "流行病学", "病灶", "增长", "分析", "队列", "a", "x"]
+    base = ["".join(draw.choice(words) + draw.choice(["", " ", " ", ": "]) for _ in range(draw.randint(1, 9))) for _ in range(60)]
+
+    def altered(t):
+        for _ in range(draw.randint(0, 1 + len(t) // 6)):
+            i = draw.randrange(len(t) + 1)
+            t = t[:i] + draw.choice(["", "e", " ", "学"]) + t[i + draw.randint(0, 1) :]
+        return t
+
+    years = [2000, 2000, 2001, None]
+    records = [(i, altered(base[i % 60]), draw.choice(years)) for i in range(180)] + [(900, "", 2000), (901, None, 2000), (902, "?!", None)]
+    works = [(f"w{i}", altered(t), draw.choice(years)) for i, t in enumerate(base)] + [("w900", "", 2000), ("w901", None, 2000)]
+    plain = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).strip()
+    r, w = spark.createDataFrame(records, "rec_id bigint, title string, year int"), spark.createDataFrame(works, "identifier string, title string, year int")
+    for least in (0.84, 0.7):
+        want = {}
+        for i, t, y in records:
+            for k, u, v in works:
+                if plain(t) and plain(u):
+                    score = difflib.SequenceMatcher(None, plain(t), plain(u)).ratio() - (0.2 if y and v and y != v else 0.0)
+                    if score >= least:
+                        want[i] = max(want.get(i, (0.0, "")), (score, k))
+        assert len(want) > 30 and any("一" <= records[i][1][0] <= "鿿" for i in want)
+        assert {x.rec_id: x.identifier for x in editing.best_titles(r, w, least).collect()} == {i: k for i, (_, k) in want.items()}
+
+
 def test_small(spark):
     f = spark.createDataFrame([finding(1, "Ｓtraße  ﬁ!"), finding(2, None)], FI)
     assert {r.id: r.normal for r in editing.normal_texts(f).collect()} == {"F1": "strasse fi", "F2": None}
