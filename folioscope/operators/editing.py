@@ -15,8 +15,9 @@ from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window as W
 
 from folioscope.functions.text import norm_ws, plain, word_set
+from folioscope.operators.findings import linked_classes, rated
 from folioscope.operators.structure import numbered_sections
-from folioscope.session import spread
+from folioscope.session import spread, written
 
 #: Longs of a title's parity bits by the length of the character sequences they stand for; parts of a list of works (fixed values).
 SKETCH = {1: 4, 2: 8}
@@ -190,6 +191,74 @@ def matched_labels(findings: DataFrame) -> DataFrame:
     return g.withColumn("n_matched", F.least("n_gold", "n_found"))
 
 
+def largest_matching(golds: list, founds: list) -> int:
+    """Size of the largest one-to-one matching of gold and found findings, each given by its blocks, that share a block, by augmenting paths."""
+    on: dict[str, list[int]] = {}
+    for k, blocks in enumerate(founds):
+        for b in set(blocks):
+            on.setdefault(b, []).append(k)
+    owner: dict[int, int] = {}
+    spent: set[str] = set()  # blocks that no path leads on from
+    for start in range(len(golds)):
+        seen, queue, came, mate, end = set(), [start], {}, {}, None
+        while queue and end is None:
+            g = queue.pop()
+            for b in golds[g]:
+                if b in seen or b in spent:
+                    continue
+                seen.add(b)
+                for k in on.get(b, ()):
+                    if k in came:
+                        continue
+                    came[k] = g
+                    if k not in owner:
+                        end = k
+                        break
+                    mate[owner[k]] = k
+                    queue.append(owner[k])
+                if end is not None:
+                    break
+        if end is None:
+            spent |= seen
+        while end is not None:
+            g = came[end]
+            owner[end], end = g, mate.get(g) if g != start else None
+    return len(owner)
+
+
+def matched_gold(findings: DataFrame) -> DataFrame:
+    """(doc_id, issue_type, n_gold, n_found, n_matched): the largest one-to-one matching of gold (deterministic) and found findings of a document and issue that share a block.
+
+    A gold finding without blocks may be matched with any. The matching is searched in each class of findings connected by blocks;
+    where a class has one gold or one found finding it is one.
+    """
+    f = findings.dropDuplicates(["id"]).select("id", "doc_id", "issue_type", F.array_distinct(F.coalesce("block_ids", F.array().cast("array<string>"))).alias("block_ids"), F.coalesce(F.col("source") == "deterministic", F.lit(False)).alias("gold"))
+    placed = f.where("size(block_ids) > 0")
+    spot = F.to_json(F.struct("doc_id", "issue_type", "block"))
+    at = placed.select("id", "gold", "doc_id", "issue_type", F.explode("block_ids").alias("block")).select("id", "gold", spot.alias("spot"))
+    both = at.groupBy("spot").agg(F.bool_or("gold").alias("g"), F.bool_or(~F.col("gold")).alias("n")).where("g and n").select("spot")
+    at = written(at.join(both, "spot").select("id", "spot"), "spots")
+    c = linked_classes(at.select("id").distinct(), at)
+    c = written(placed.join(c, "id"), "placed")
+    sizes = c.groupBy("class_id", "doc_id", "issue_type").agg(F.least(F.count_if("gold"), F.count_if(~F.col("gold"))).alias("low"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        n = largest_matching([set(b) for b in group.loc[group["gold"], "block_ids"]], [set(b) for b in group.loc[~group["gold"], "block_ids"]])
+        return pd.DataFrame({"class_id": [group["class_id"].iloc[0]], "best": [n]})
+
+    many = c.join(sizes.where("low > 1").select("class_id"), "class_id").groupBy("class_id").applyInPandas(search, "class_id string, best long")
+    m = sizes.join(many, "class_id", "left").groupBy("doc_id", "issue_type").agg(F.sum(F.coalesce("best", "low")).alias("m")).select(F.col("doc_id").alias("d"), F.col("issue_type").alias("i"), "m")
+    n = f.groupBy("doc_id", "issue_type").agg(F.count_if("gold").alias("n_gold"), F.count_if(~F.col("gold")).alias("n_found"), F.count_if(F.col("gold") & (F.size("block_ids") == 0)).alias("anywhere"))
+    n = n.join(m, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("issue_type").eqNullSafe(F.col("i")), "left")
+    return n.select("doc_id", "issue_type", "n_gold", "n_found", F.least("n_found", F.coalesce("m", F.lit(0)) + F.col("anywhere")).alias("n_matched"))
+
+
+def matched_scores(findings: DataFrame) -> DataFrame:
+    """(issue_type, tp, fp, fn, precision, recall, f1): found against gold findings by the largest matching, by issue type and in all (null)."""
+    s = matched_gold(findings).rollup("issue_type").agg(F.sum("n_matched").alias("tp"), F.sum(F.col("n_found") - F.col("n_matched")).alias("fp"), F.sum(F.col("n_gold") - F.col("n_matched")).alias("fn"))
+    return rated(s)
+
+
 def distinct_words(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, words): the words of a block, each once, in order of first appearance."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1))

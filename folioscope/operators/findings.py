@@ -141,8 +141,13 @@ def anchor_classes(findings: DataFrame) -> DataFrame:
     """
     f = findings_of(findings).select("id", "doc_id", "block_ids")
     at = f.select("id", "doc_id", F.explode("block_ids").alias("block")).select("id", F.concat_ws("/", "doc_id", "block").alias("spot"))
+    return linked_classes(f, at)
+
+
+def linked_classes(nodes: DataFrame, at: DataFrame) -> DataFrame:
+    """(id, class_id): classes of nodes (id) connected by common spots (id, spot), named by their least id."""
     at = written(at.distinct(), "anchors")
-    label = written(f.select("id", F.col("id").alias("label")), "labels")
+    label = written(nodes.select("id", F.col("id").alias("label")), "labels")
     while True:
         spot = at.join(label, "id").groupBy("spot").agg(F.min("label").alias("low"))
         near = at.join(spot, "spot").groupBy("id").agg(F.min("low").alias("low"))
@@ -188,6 +193,11 @@ def scores(findings: DataFrame) -> DataFrame:
     """
     f = findings_of(findings).select("issue_type", F.coalesce("gate_passed", F.lit(False)).alias("p"), F.coalesce(F.col("verdict") == "confirmed", F.lit(False)).alias("g"))
     s = f.rollup("issue_type").agg(F.count_if(F.expr("p and g")).alias("tp"), F.count_if(F.expr("p and not g")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"))
+    return rated(s)
+
+
+def rated(s: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of counts (issue_type, tp, fp, fn)."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision = F.when(tp + fp > 0, tp / (tp + fp)).when(fn > 0, 0.0).otherwise(1.0)
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(1.0)

@@ -33,6 +33,8 @@ R.add(
     "match_tp", "findings", e.matched_labels,
     "WITH f AS (SELECT DISTINCT id, doc_id, issue_type, list_min(block_ids) AS anchor, source FROM findings), g AS (SELECT doc_id, issue_type, anchor, count(*) FILTER (source = 'deterministic') AS n_gold, count(*) FILTER (source <> 'deterministic') AS n_found FROM f GROUP BY 1, 2, 3) SELECT *, least(n_gold, n_found) AS n_matched FROM g",
 )
+R.add("match_gold", "findings", e.matched_gold)
+R.add("prf_matched", "findings", e.matched_scores)
 R.add("distinct_ordered", "blocks", e.distinct_words)
 R.add(
     "section_path", "blocks", e.section_paths,

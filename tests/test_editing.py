@@ -73,3 +73,30 @@ def test_small(spark):
     f = spark.createDataFrame([finding(1, "Ｓtraße  ﬁ!"), finding(2, None)], FI)
     assert {r.id: r.normal for r in editing.normal_texts(f).collect()} == {"F1": "strasse fi", "F2": None}
     assert rows(editing.distinct_words(spark.createDataFrame([block("d", 1, "b A b"), block("d", 2, None)], B))) == [("d", "p1", "b a"), ("d", "p2", "")]
+
+
+def test_largest_matching_as_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    data = [(i, tuple(sorted(draw.sample([f"p{k}" for k in range(7)], draw.randint(0, 3)))), draw.choice("de"), draw.choice(["deterministic", "llm"])) for i in range(60)]
+    # both must leave the other one their least block
+    data += [(90, ("p1", "p2"), "f", "deterministic"), (91, ("p2",), "f", "llm"), (92, ("p2", "p3"), "f", "deterministic"), (93, ("p0", "p3"), "f", "llm"), (94, ("p9",), "f", "llm")]
+
+    def best(golds, founds):
+        if not golds:
+            return 0
+        skip = best(golds[1:], founds)
+        return max([skip] + [1 + best(golds[1:], founds[:k] + founds[k + 1 :]) for k, b in enumerate(founds) if not golds[0] or set(golds[0]) & set(b)]) if skip < min(len(golds), len(founds)) else skip
+
+    for n in (5, 9, 13, 16, 65):
+        rows_ = [x for x in data[:n]] if n < 65 else data[60:]
+        df = spark.createDataFrame([finding(i, blocks=b, doc=d, source=s) for i, b, d, s in rows_], FI)
+        want = {}
+        for d in {x[2] for x in rows_}:
+            g, f = [x[1] for x in rows_ if x[2] == d and x[3] == "deterministic"], [x[1] for x in rows_ if x[2] == d and x[3] == "llm"]
+            want[d] = (len(g), len(f), best(g, f))
+        assert {r.doc_id: (r.n_gold, r.n_found, r.n_matched) for r in editing.matched_gold(df).collect()} == want
+    assert want["f"] == (2, 3, 2)
+    assert [(r.tp, r.fp, r.fn) for r in editing.matched_scores(df).where("issue_type is null").collect()] == [(2, 1, 0)]
+    assert editing.matched_gold(spark.createDataFrame([], FI)).count() == 0
