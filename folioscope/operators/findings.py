@@ -19,6 +19,8 @@ DETECTORS = {"citation_": "citations", "crossref_": "crossref", "numeric_": "num
 #: Words that deny and words that affirm (fixed values).
 NEGATIVE = ["no", "not", "without", "missing", "absent", "unsupported", "inconsistent", "failed", "fail"]
 POSITIVE = ["yes", "present", "supported", "consistent", "significant", "confirmed"]
+#: Relations of findings, the strongest first (fixed values).
+STRENGTH = ["duplicate", "supports", "contradicts", "same_root_cause"]
 NUMBER = r"(\d+(?:\.\d+)?)"
 
 
@@ -159,6 +161,50 @@ def linked_classes(nodes: DataFrame, at: DataFrame) -> DataFrame:
             return label.withColumnRenamed("label", "class_id")
 
 
+def edges(findings: DataFrame) -> DataFrame:
+    """(a, b, relation): related findings, a before b, and among findings of equal issue and text on a block the first with every other as duplicates."""
+    f = findings_of(findings).select("id", "doc_id", "issue_type", "seq", F.concat_ws(" ", "verbatim_quote", "rationale").alias("said"), F.explode(F.array_distinct("block_ids")).alias("block_id")).where("trim(said) <> ''")
+    key = ["doc_id", "issue_type", "block_id", "said"]
+    first = f.groupBy(*key).agg(F.min(F.struct("seq", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    equal = f.join(first, key).where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.lit("duplicate").alias("relation")).distinct()
+    return relations(findings).where("relation <> 'co_located'").select("a", "b", "relation").unionByName(equal)
+
+
+def duplicate_groups(findings: DataFrame, linkable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) of all findings by duplicate edges, and (class_id, n_supports, related, relation) of classes that have edges.
+
+    Edges are sought among linkable findings, all if not given. A class counts every edge that touches it once; related are the other
+    ends, relation the strongest one.
+    """
+    e = written(edges(findings if linkable is None else linkable), "edges")
+    d = e.where("relation = 'duplicate'").select("a", "b", F.concat_ws("|", "a", "b").alias("spot"))
+    at = d.select(F.col("a").alias("id"), "spot").unionByName(d.select(F.col("b").alias("id"), "spot"))
+    joined = linked_classes(at.select("id").distinct(), at)
+    c = written(findings_of(findings).select("id").join(joined, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes")
+    e = e.join(c.select(F.col("id").alias("a"), F.col("class_id").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("class_id").alias("cb")), "b")
+    touch = e.select(F.col("ca").alias("class_id"), F.col("b").alias("other"), "relation").unionByName(e.where("ca <> cb").select(F.col("cb").alias("class_id"), F.col("a").alias("other"), "relation"))
+    strength = F.array_position(F.array(*map(F.lit, STRENGTH)), F.col("relation"))
+    peers = touch.groupBy("class_id").agg(F.count_if(F.col("relation") == "supports").alias("n_supports"), F.array_sort(F.collect_set("other")).alias("related"), F.min_by("relation", strength).alias("relation"))
+    return c, peers
+
+
+def best_order() -> Column:
+    return F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), severity_rank(F.col("severity")).alias("s"), "seq", "id")
+
+
+def collapsed_duplicates(findings: DataFrame) -> DataFrame:
+    """(representative, n, support, n_reviewers, reviewers, sources, related, relation, top_confidence): classes of findings joined by duplicate edges, by their best finding.
+
+    support is the size of the class plus the supports edges that touch it.
+    """
+    c, peers = duplicate_groups(findings)
+    g = findings_of(findings).join(c, "id").groupBy("class_id").agg(
+        F.min(best_order()).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_set("reviewer_id")).alias("reviewers"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.max("confidence").alias("top_confidence")
+    )
+    support = F.col("n") + F.coalesce("n_supports", F.lit(0))
+    return g.join(peers, "class_id", "left").select(F.col("best.id").alias("representative"), "n", support.alias("support"), F.size("reviewers").alias("n_reviewers"), "reviewers", "sources", F.coalesce("related", F.array().cast("array<string>")).alias("related"), "relation", "top_confidence")
+
+
 def collapsed(findings: DataFrame) -> DataFrame:
     """(representative, n, n_reviewers, sources, top_confidence): classes of findings of equal document, issue and first block, by their best finding."""
     f = findings_of(findings).withColumn("anchor", F.array_min("block_ids"))

@@ -51,6 +51,7 @@ R.add(
     "cluster_collapse", "findings", f.collapsed,
     f"WITH {FI} SELECT arg_min(id, (-coalesce(confidence, 0), {SEV}, seq, id)) AS representative, count(*) AS n, count(DISTINCT reviewer_id) AS n_reviewers, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(confidence) AS top_confidence FROM (SELECT *, list_min(block_ids) AS anchor FROM f) GROUP BY doc_id, issue_type, anchor",
 )
+R.add("duplicate_collapse", "findings", f.collapsed_duplicates)
 R.add("edit_conflicts", "findings", f.edit_conflicts, f"WITH {FI}, u AS (SELECT doc_id, id, unnest(list_distinct(block_ids)) AS block_id FROM f WHERE trim(suggested_fix) <> '') SELECT doc_id, block_id, count(*) AS n_findings, min(id) AS first_id FROM u GROUP BY 1, 2 HAVING count(*) > 1")
 R.add(
     "regression_diff", "findings", f.set_difference,

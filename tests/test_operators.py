@@ -111,3 +111,18 @@ def test_running_values_over_stretches(spark):
     df = spark.createDataFrame(data, "k string, i int, v int")
     got = {(r.k, r.i): (r.last, r.total) for r in running_sum(running_last(df, "k", "i", F.col("v"), "last", 7), "k", "i", F.coalesce("v", F.lit(0)), "total", 7).collect()}
     assert got == {("a", i): (i - i % 5, sum(range(0, i + 1, 5))) for i in range(40)} | {("b", 3): (None, 0), ("b", 9): (1, 1)}
+
+
+def test_duplicates_collapse_by_edges(spark):
+    alike, other, akin = "the sample of seventeen patients stays unclear here", "figure labels overlap badly", "the sample of seventeen patients was never described anywhere"
+    f = [
+        finding(1, alike, ("p1", "p2"), conf=0.6), finding(2, alike + " indeed", ("p0", "p2"), conf=0.9), finding(3, other, ("p1",)), finding(4, akin, ("p2",), conf=0.7),
+        finding(5, "same words", ("p7", "p8")), finding(6, "same words", ("p8", "p9"), source="deterministic"), finding(7, "same words", ("p5",)), finding(8, "alone", None), finding(8, "alone", None),
+    ]
+    got = {r.representative: r for r in findings.collapsed_duplicates(spark.createDataFrame(f, FI)).collect()}
+    assert {k: r.n for k, r in got.items()} == {"F2": 2, "F3": 1, "F4": 1, "F5": 2, "F7": 1, "F8": 1}
+    relation = {(r.a, r.b): r.relation for r in findings.relations(spark.createDataFrame(f, FI)).collect()}
+    touched = sum(relation.get(p) == "supports" for p in (("F1", "F4"), ("F2", "F4")))
+    assert touched and relation["F1", "F2"] == "duplicate" and got["F2"].support == 2 + touched and got["F2"].related == ["F2", "F3", "F4"]
+    assert got["F2"].relation == "duplicate" and got["F5"].sources == "deterministic,llm" and got["F5"].related == ["F6"] and got["F8"].related == [] and got["F8"].relation is None
+    assert findings.collapsed_duplicates(spark.createDataFrame([], FI)).count() == 0
