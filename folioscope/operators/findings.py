@@ -268,3 +268,23 @@ def verified(findings: DataFrame, blocks: DataFrame) -> DataFrame:
     j = f.join(g, "id").join(d, "id").join(e, "id", "left")
     kept = F.col("passed") & (F.col("kept") == F.col("id"))
     return j.groupBy("doc_id", "severity").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.count_if(kept).alias("n_kept"), F.count_if(F.col("error").isNotNull()).alias("n_unsound"))
+
+
+def verified_findings(findings: DataFrame, blocks: DataFrame, least: float = 0.55) -> DataFrame:
+    """(id, doc_id, error, reason, representative, support, rank, display, status): the verify pipeline, one row a finding.
+
+    Reviewers' findings are validated and gated, where an empty quote fails too; deterministic ones bring their gate result. Sound
+    findings of confidence `least` or more are linked and duplicates collapsed; a representative's rank in its document and whether it
+    passed (confirmed or rejected) hold for all findings of its class. Unsound findings stand alone and rank as nits of confidence 1.
+    """
+    f = findings_of(findings).join(schema_errors(findings), "id", "left").join(gate(findings, blocks).select("id", "reason"), "id")
+    own = F.coalesce(F.col("source") == "deterministic", F.lit(False))
+    f = f.withColumn("error", F.when(~own, F.col("error"))).withColumn("passed", F.when(own, F.coalesce("gate_passed", F.lit(False))).otherwise(F.col("error").isNull() & (F.col("reason") == "match")))
+    f = f.withColumn("severity", F.when(F.col("error").isNull(), F.col("severity")).otherwise("nit")).withColumn("confidence", F.when(F.col("error").isNull(), F.col("confidence")).otherwise(1.0))
+    f = written(f.select("id", "doc_id", "seq", "issue_type", "severity", "confidence", "block_ids", "verbatim_quote", "rationale", "error", "reason", "passed"), "checked")
+    c, peers = duplicate_groups(f, f.where("error is null").where(F.col("confidence") >= least))
+    g = f.join(c, "id").groupBy("class_id").agg(F.min_by(F.struct("id", "passed"), best_order()).alias("best"), F.count("*").alias("n"))
+    g = written(g.join(peers, "class_id", "left").select("class_id", F.col("best.id").alias("representative"), "best.passed", (F.col("n") + F.coalesce("n_supports", F.lit(0))).alias("support")), "groups")
+    r = ranks(f.join(g, f.id == g.representative, "left_semi")).withColumnRenamed("id", "representative")
+    status = F.when(F.col("passed"), "confirmed").otherwise("rejected")
+    return f.select("id", "doc_id", "error", "reason").join(c, "id").join(g, "class_id").join(r, "representative").select("id", "doc_id", "error", "reason", "representative", "support", "rank", "display", status.alias("status"))

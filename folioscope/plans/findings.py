@@ -79,6 +79,7 @@ R.add(
     f"""WITH {FI}, {GATE}, {EXACT}, {ERRORS} SELECT f.doc_id, f.severity, count(*) AS n, count(*) FILTER (reason IN ('empty', 'match')) AS n_passed, count(*) FILTER (reason IN ('empty', 'match') AND kept = f.id) AS n_kept, count(*) FILTER (error IS NOT NULL) AS n_unsound
 FROM f JOIN gate ON f.id = gate.id JOIN exact ON f.id = exact.id JOIN err ON f.id = err.id GROUP BY 1, 2""",
 )
+R.add("verify_findings", "findings blocks", f.verified_findings)
 
 R.add(
     "report", "findings", markdown,

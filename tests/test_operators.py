@@ -126,3 +126,18 @@ def test_duplicates_collapse_by_edges(spark):
     assert touched and relation["F1", "F2"] == "duplicate" and got["F2"].support == 2 + touched and got["F2"].related == ["F2", "F3", "F4"]
     assert got["F2"].relation == "duplicate" and got["F5"].sources == "deterministic,llm" and got["F5"].related == ["F6"] and got["F8"].related == [] and got["F8"].relation is None
     assert findings.collapsed_duplicates(spark.createDataFrame([], FI)).count() == 0
+
+
+def test_verify_gives_every_finding_its_representative(spark):
+    blocks = spark.createDataFrame([block("d", 1, "alpha beta gamma delta epsilon zeta eta theta")], B)
+    words = "alpha beta gamma delta epsilon zeta eta"
+    f = [
+        finding(1, words, conf=0.6), finding(2, words + " theta", conf=0.9), finding(3, "not there", conf=0.8), finding(4, "alpha", sev="other", conf=0.3), finding(5, "alpha", source="deterministic", gate=True, sev="major"),
+        finding(6, "", conf=0.7), finding(7, words, conf=0.2), finding(8, "alpha", source="deterministic", gate=False, conf=0.1, why="x"),
+    ]
+    got = {r.id: (r.representative, r["rank"], r.status, r.error) for r in findings.verified_findings(spark.createDataFrame(f, FI), blocks).collect()}
+    assert got == {
+        "F1": ("F2", 2, "confirmed", None), "F2": ("F2", 2, "confirmed", None), "F3": ("F3", 3, "rejected", None), "F4": ("F4", 6, "rejected", "unknown severity"), "F5": ("F5", 1, "confirmed", None),
+        "F6": ("F6", 7, "rejected", "blank quote"), "F7": ("F7", 4, "confirmed", None), "F8": ("F8", 5, "rejected", None),
+    }
+    assert findings.verified_findings(spark.createDataFrame([], FI), spark.createDataFrame([], B)).count() == 0
