@@ -87,7 +87,7 @@ def ranks(findings: DataFrame) -> DataFrame:
     classes = classes.select("doc_id", "sev", "conf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(W.partitionBy("doc_id", "sev", "conf").orderBy("seq"))
     r = f.withColumn("inside", inside).join(classes, ["doc_id", "sev", "conf"]).select("id", (F.col("before") + F.col("inside")).alias("rank"))
-    return r.select("id", "rank", F.concat(F.lit("F"), F.lpad(F.col("rank").cast("string"), 3, "0")).alias("display"))
+    return r.select("id", "rank", F.concat(F.lit("F"), F.when(F.col("rank") < 1000, F.lpad(F.col("rank").cast("string"), 3, "0")).otherwise(F.col("rank").cast("string"))).alias("display"))
 
 
 def uids(findings: DataFrame) -> DataFrame:

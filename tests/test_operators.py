@@ -141,3 +141,8 @@ def test_verify_gives_every_finding_its_representative(spark):
         "F6": ("F6", 7, "rejected", "blank quote"), "F7": ("F7", 4, "confirmed", None), "F8": ("F8", 5, "rejected", None),
     }
     assert findings.verified_findings(spark.createDataFrame([], FI), spark.createDataFrame([], B)).count() == 0
+
+
+def test_ranks_of_a_thousand_and_more_show_in_full(spark):
+    shown = {r["rank"]: r.display for r in findings.ranks(spark.createDataFrame([finding(i) for i in range(1, 1013)], FI)).collect()}
+    assert shown == {k: f"F{k:03d}" for k in range(1, 1013)}
