@@ -98,7 +98,7 @@ def sentences(text: str) -> list[str]:
 
 def fit_filters(documents: DataFrame, languages: list[str], labels: dict[str, str], docs: int = TRAIN_DOCS) -> np.ndarray:
     """The filters' array (a mask a slot) from labelled documents (text, lang)."""
-    labelled = documents.select("text", label_code(F.col("lang"), labels).alias("code")).where("code is not null and length(text) >= 40")
+    labelled = documents.select("text", label_code(F.col("lang"), labels).alias("code")).where("code is not null and length(text) >= 40").distinct()  # a copied text is one document
     sizes = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}
     share = F.create_map(*[x for c in sizes for x in (F.lit(c), F.lit(min(1.0, docs / sizes[c])))]) if sizes else None
     if share is None:

@@ -62,3 +62,14 @@ def test_without_training_rows(spark):
     docs, langs = frames(spark, [(1, "Some text without any label at all in it.", None)])
     assert identify(docs, langs).count() == 0
     assert identify(spark.createDataFrame([], "doc_id bigint, text string, lang string"), langs).count() == 0
+
+
+def test_copies_of_a_text_train_once(spark):
+    from folioscope.llm.language import fit_filters
+
+    texts = [f"text number {i} speaks of {w} and of {v} at some length, as texts of this kind do" for i in range(12) for w in ("gait", "speech") for v in ("trials", "archives")]
+    other = [f"ein Satz der Nummer {i} handelt von Versuchen und von Archiven in aller gebotenen Ausführlichkeit" for i in range(30)]
+    once = [(t, "en") for t in texts] + [(t, "de") for t in other]
+    copies = once + [(texts[5], "en")] * 900
+    fit = lambda data: fit_filters(spark.createDataFrame(data, "text string, lang string"), ["de", "en"], {"de": "de", "en": "en"}, 20)
+    assert (fit(copies) == fit(once)).all() and fit(once).any()
