@@ -120,6 +120,18 @@ def sketches(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel: no fewer characters than a sequence matcher matches."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = left = (1 << len(a)) - 1
+    for c in b:
+        u = left & at.get(c, 0)
+        left = ((left + u) | (left - u)) & full
+    return len(a) - left.bit_count()
+
+
 def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> DataFrame:
     """(rec_id, identifier, score): the work of most similar title of each record, if near enough.
 
@@ -145,7 +157,13 @@ def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> Da
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+        def one(x: str, y: str) -> float:
+            if x == y:
+                return 1.0
+            possible = 2 * common_length(x, y) / (len(x) + len(y))
+            return difflib.SequenceMatcher(None, x, y).ratio() if possible >= least else possible
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
     s = pairs.select("ta", "ya", "identifier", (ratio("ta", "tb") - F.when(F.col("ya") != F.col("yb"), 0.2).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
     best = s.groupBy(F.col("ta").alias("t"), F.col("ya").alias("y")).agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
