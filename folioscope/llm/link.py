@@ -110,7 +110,7 @@ def year_similarity(a, b) -> float | None:
 
 
 def described(records: DataFrame, key: str, raw: str | None = None) -> DataFrame:
-    """(key, tokens, main, numbers, people, year), main the number of tokens before a subtitle; a blank title, a missing year and missing authors are read from raw if there is one."""
+    """(key, tokens, main, numbers, people, year), main the number of tokens before a subtitle; a blank title and a missing year are read from raw if there is one, missing authors are not."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
