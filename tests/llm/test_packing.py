@@ -1,10 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.llm.packing import pack, pack_lengths, patterns, plan
+from folioscope.llm.packing import best_pattern, fit, pack, pack_lengths, pattern_groups, plan, stocked_pattern
 
 PROFILES = [("small", 16), ("large", 100)]
 
@@ -27,9 +28,40 @@ def test_plan_places_everything(capacity, items):
     check(plan(dict(h), capacity), h, capacity)
 
 
-def test_patterns_fill():
-    p = patterns(30)
-    assert (p.sum(1) == 30).all() and len({tuple(x) for x in p}) == len(p)
+def test_patterns():
+    """The highest-priced pattern against all multisets, and the same from a stock."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        price = np.r_[0.0, r.normal(size=9)]
+
+        def best(at, rest, left):
+            if not rest:
+                return 0.0
+            return max((price[u] + best(u, rest - u, {**left, u: left[u] - 1}) for u in range(at, rest + 1) if left.get(u, 0)), default=-np.inf)
+
+        p = best_pattern(price)
+        assert p @ np.arange(10) == 9 and abs(p @ price - best(1, 9, dict.fromkeys(range(1, 10), 99))) < 1e-9
+        left = r.integers(0, 3, 10)
+        q, most = stocked_pattern(price, left), best(1, 9, dict(enumerate(left)))
+        assert (q <= left).all() and (not np.isfinite(most) or q @ np.arange(10) == 9 and abs(q @ price - most) < 1e-9)
+
+
+def test_fit():
+    target = np.zeros(11)
+    target[[2, 3, 5, 7]] = [10, 20, 30, 20]
+    x = fit(target)
+    assert all(n > 0 for _, n in x) and np.abs(sum(p * n for p, n in x) - target)[1:].max() < 0.05
+
+
+def test_patterns_place_most():
+    """The patterns, not the best-fit step, give the places, and use as many containers as best-fit alone to one in a thousand."""
+    r = random.Random(7)
+    for capacity in (512, 2048, 4096):
+        h = Counter(min(capacity, max(20, int(r.lognormvariate(5.4, 0.9)))) for _ in range(10_000))
+        groups, rest = pattern_groups(dict(h), capacity)
+        check(groups + [((k,), n) for k, n in rest.items()], h, capacity)
+        assert sum(rest.values()) <= 0.05 * sum(h.values())
+        assert sum(n for _, n in plan(dict(h), capacity)) <= 1.001 * sum(n for _, n in plan(dict(h), capacity, False))
 
 
 def test_fill_is_close_to_the_bound():
