@@ -70,7 +70,7 @@ def ids_of(text: str | None, path: str) -> list[int]:
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, ids ARRAY<INT>) of every row."""
+    """(key, ids ARRAY<INT>) of every row, rows of a key that repeats included: texts are not shuffled unless the input has too few partitions."""
     path = rank_file(tokenizer, folder)
 
     @F.pandas_udf("array<int>")

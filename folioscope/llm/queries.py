@@ -65,7 +65,7 @@ def p7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]))
+    return encode(table(spark, sf_dir, "documents"))
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
