@@ -1,9 +1,10 @@
 """Several values packed in one field: delimiters inferred per source, then split and exploded with position.
 
 A source is one document and one notation (numeric, author-year in key, author-year in raw). Every candidate delimiter is
-scored on all values of its source: the share of pieces that begin and end as a value of the notation does (piece type
-regularity), and whether raw and key fall into equally many pieces (piece-count consistency). Values are split at the
-delimiters that their source accepts.
+scored on all values of its source that hold it: the share of pieces that begin and end as a value of the notation does (piece
+type regularity), and the share of values whose raw and key fall into equally many pieces (piece-count consistency). A source
+of few values leans on the scores of its notation in the whole table. Values are split at the delimiters that their source
+accepts and nowhere else: a piece that is no value of its notation stays whole.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ REGULAR = {
     "ay_key": rf"(?s)^\s*(?:[^|]*\p{{L}}[^|]*\|\s*{YEAR}|{YEAR})(?:.*{YEAR})?\s*$",
     "ay_raw": rf"(?s)^\s*[\p{{L}}].*{YEAR}\s*$",
 }
-#: A range wider than this is no citation range; its two ends are then two values.
-WIDEST = 100_000
+#: The whole table's score of a delimiter counts as so many values of a source; the least score of an accepted delimiter.
+PRIOR, LEAST = 0.5, 0.6
+#: Ranges wider than this are counted out over rows instead of inside one.
+IN_ROW = 10_000
 
 
 def _prepared(value: Column, kind: Column) -> Column:
@@ -67,31 +70,37 @@ def delimiter_scores(values: DataFrame) -> DataFrame:
     one source with a third of all rows is no hot task.
     """
     candidates = F.create_map(*[x for k, c in CANDIDATES.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
-    seen = values.select("source", "kind", "v", "other", F.explode(F.element_at(candidates, F.col("kind"))).alias("delimiter")).where(F.contains("v", "delimiter"))
+    held = F.filter(F.element_at(candidates, F.col("kind")), lambda d: F.contains("v", d))
+    seen = values.select("source", "kind", "v", "other", F.explode(held).alias("delimiter"))
     regular = F.when(F.col("kind") == "num", F.lit(REGULAR["num"])).when(F.col("kind") == "ay_key", F.lit(REGULAR["ay_key"])).otherwise(F.lit(REGULAR["ay_raw"]))
     seen = seen.withColumn("pieces", _pieces(F.col("v"), F.col("delimiter"))).withColumn("pattern", regular)
     seen = seen.select(
         "source", "kind", "delimiter",
-        F.size("pieces").alias("n"),
-        F.size(F.filter("pieces", lambda p: F.regexp_like(p, F.col("pattern")))).alias("good"),
+        (F.size(F.filter("pieces", lambda p: F.regexp_like(p, F.col("pattern")))) / F.greatest(F.size("pieces"), F.lit(1))).alias("good"),
         F.when(F.col("other").isNotNull() & ~F.contains("other", F.lit("…")), (F.size(_pieces(F.col("other"), F.col("delimiter"))) == F.size("pieces")).cast("double")).alias("same"),
     )
-    scored = seen.groupBy("source", "kind", "delimiter").agg((F.sum("good") / F.greatest(F.sum("n"), F.lit(1))).alias("regularity"), F.coalesce(F.avg("same"), F.lit(0.5)).alias("consistency"), F.count("*").alias("n"))
-    scored = scored.withColumn("score", 0.7 * F.col("regularity") + 0.3 * F.col("consistency"))
-    return scored.withColumn("accepted", F.col("score") >= 0.6)
+    own = seen.groupBy("source", "kind", "delimiter").agg(F.sum("good").alias("good"), F.sum("same").alias("same"), F.count("same").alias("both"), F.count("*").alias("n"))
+    all_ = own.groupBy("kind", "delimiter").agg((F.sum("good") / F.sum("n")).alias("all_good"), F.coalesce(F.sum("same") / F.sum("both"), F.lit(0.5)).alias("all_same"))  # at most one row a candidate
+    own = own.join(F.broadcast(all_), ["kind", "delimiter"])
+    own = own.withColumn("regularity", (F.col("good") + PRIOR * F.col("all_good")) / (F.col("n") + PRIOR))
+    own = own.withColumn("consistency", (F.coalesce("same", F.lit(0.0)) + PRIOR * F.col("all_same")) / (F.col("both") + PRIOR))
+    own = own.withColumn("score", 0.7 * F.col("regularity") + 0.3 * F.col("consistency"))
+    return own.select("source", "kind", "delimiter", "regularity", "consistency", "n", "score", (F.col("score") >= LEAST).alias("accepted"))
 
 
 def _number(text: Column) -> Column:
     return F.regexp_replace(text, r"^0+(?=\d)", "")
 
 
-def _numbers(piece: Column) -> Column:
-    """The numbers of a numeric piece: a range in full and ascending, else every run of digits."""
-    a, b = F.regexp_extract(piece, RANGE, 1), F.regexp_extract(piece, RANGE, 2)
-    short = (F.length(a) > 0) & (F.length(_number(a)) <= 15) & (F.length(_number(b)) <= 15)
-    x, y = a.try_cast("bigint"), b.try_cast("bigint")
-    inside = short & (F.abs(x - y) <= WIDEST)
-    return F.when(inside, F.transform(F.sequence(F.least(x, y), F.greatest(x, y)), lambda i: i.cast("string"))).otherwise(F.transform(F.regexp_extract_all(piece, F.lit(r"(\d+)"), 1), _number))
+def _segments(piece: Column, kind: Column) -> Column:
+    """The values of a piece as structs (text, low, n): a text, or n whole numbers from low on."""
+    one = lambda t: F.struct(t.alias("text"), F.lit(None).cast("decimal(38,0)").alias("low"), F.lit(1).cast("bigint").alias("n"))
+    a, b = (F.regexp_extract(piece, RANGE, k).try_cast("decimal(38,0)") for k in (1, 2))
+    span = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.least(a, b).alias("low"), (F.abs(a - b) + 1).cast("bigint").alias("n")))
+    single = F.regexp_extract(piece, r"^\D*(\d+)\D*$", 1)
+    number = F.when(single != "", F.array(one(_number(single)))).when(a.isNotNull() & b.isNotNull(), span).otherwise(F.array(one(F.trim(piece))))
+    in_key = kind == "ay_key"
+    return F.when(kind == "num", number).otherwise(F.transform(_author_years(piece, in_key), one))
 
 
 def _author_years(piece: Column, in_key: Column) -> Column:
@@ -104,32 +113,43 @@ def _author_years(piece: Column, in_key: Column) -> Column:
     return F.transform(years, lambda y: F.concat(F.when(in_key, name_key).otherwise(name_raw), F.lit("|"), y))
 
 
+def _rows(m: DataFrame) -> DataFrame:
+    """(doc_id, seq, val_pos, val) of marks (doc_id, seq, segments); a wide range is counted out over rows."""
+    wide = F.exists("segments", lambda s: s.n > IN_ROW)
+    count = lambda s: F.when(s.text.isNotNull(), F.array(s.text)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(s.n, F.lit(IN_ROW)) - 1), lambda i: (s.low + i).cast("decimal(38,0)").cast("string")))
+    short = m.where(~wide).select("doc_id", "seq", F.posexplode(F.flatten(F.transform("segments", count))).alias("p", "val")).select("doc_id", "seq", (F.col("p") + 1).cast("int").alias("val_pos"), "val")
+    before = F.aggregate(F.slice("segments", F.lit(1), F.col("k")), F.lit(0).cast("bigint"), lambda t, s: t + s.n)
+    long = m.where(wide).select("doc_id", "seq", "segments", F.posexplode("segments").alias("k", "s")).select("doc_id", "seq", before.alias("before"), "s")
+    long = long.select("doc_id", "seq", "before", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1, F.lit(IN_ROW).cast("bigint"))).alias("at"))
+    long = long.select("doc_id", "seq", "before", "s", F.explode(F.sequence("at", F.least(F.col("at") + IN_ROW, F.col("s.n")) - 1)).alias("i"))
+    return short.unionByName(long.select("doc_id", "seq", (F.col("before") + F.col("i") + 1).cast("int").alias("val_pos"), F.coalesce("s.text", (F.col("s.low") + F.col("i")).cast("decimal(38,0)").cast("string")).alias("val")))
+
+
 def split_marks(marks: DataFrame, salt: int = 16) -> DataFrame:
     """One row (doc_id, seq, val_pos, val) per value of each citation mark with two values or more.
 
     key counts, or raw where key is null or blank. Repeated rows of a mark count once; null and blank marks, and those of one
-    value, have no row. Ranges stand for all their numbers in ascending order, repeated values are kept, empty places are not
-    counted. Other columns of the input are ignored. A document with very many marks is salted over `salt` tasks for the join
-    with its delimiters.
+    value, have no row. Ranges stand for all their numbers in ascending order, however wide (ends of up to 38 digits); a numeric
+    piece of several numbers that is no range stays as it stands. Repeated values are kept, empty places are not counted. Other
+    columns of the input are ignored. A document with very many marks is spread over `salt` tasks throughout.
     """
-    m = marks.select(F.col("doc_id"), F.col("seq"), F.col("raw"), F.col("key")).dropDuplicates(["doc_id", "seq"])
+    part = F.pmod(F.xxhash64("seq"), F.lit(salt)).cast("int")
+    m = marks.select("doc_id", "seq", "raw", "key", F.coalesce("doc_id", F.lit("\x00")).alias("source"), part.alias("part")).repartition("source", "part").distinct()
     has_key = F.length(F.trim(F.coalesce("key", F.lit("")))) > 0
     m = m.withColumn("kind", _kind(F.col("key"), F.coalesce("raw", F.lit("")))).withColumn("field", F.when(has_key, F.col("key")).otherwise(F.col("raw")))
     m = m.where(F.length(F.trim("field")) > 0)
     m = m.withColumn("v", _prepared(F.col("field"), F.col("kind")))
     other = F.when(has_key & (F.length(F.trim(F.coalesce("raw", F.lit("")))) > 0), _prepared(F.col("raw"), F.when(F.col("kind") == "num", "num").otherwise("ay_raw")))
+    scored = delimiter_scores(m.select("source", "kind", "v", other.alias("other"))).where("accepted")
     accepted = (
-        delimiter_scores(m.select(F.col("doc_id").alias("source"), "kind", "v", other.alias("other")))
-        .where("accepted")
-        .groupBy("source", "kind")
-        .agg(F.array_join(F.collect_set("delimiter"), "").alias("delimiters"))
-        .select(F.col("source").alias("doc_id"), "kind", "delimiters", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
-    )
-    m = m.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(salt)).cast("int")).join(accepted, ["doc_id", "kind", "part"], "left")
+        scored.groupBy("source").agg(F.collect_list(F.struct("kind", "delimiter")).alias("delimiters"))  # at most all candidates
+        .select("source", "delimiters", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
+    )
+    m = m.join(accepted, ["source", "part"], "left")
     joined = F.regexp_replace("v", rf"\s*[{ALL.replace('|', '')}]+\s*(?={YEAR}(?![\d|\p{{L}}]))", YEAR_JOIN)
     v = F.when(F.col("kind") == "num", F.col("v")).otherwise(joined)
-    d = F.coalesce("delimiters", F.lit(""))
-    pieces = F.filter(F.split(F.call_function("translate", v, d, F.repeat(F.lit(CUT), F.length(d))), CUT), lambda p: F.length(F.trim(p)) > 0)
-    values = F.flatten(F.transform(pieces, lambda p: F.when(F.col("kind") == "num", _numbers(p)).otherwise(_author_years(p, F.col("kind") == "ay_key"))))
-    m = m.select("doc_id", "seq", values.alias("vals")).where(F.size("vals") >= 2)
-    return m.select("doc_id", "seq", F.posexplode("vals").alias("p", "val")).select("doc_id", "seq", (F.col("p") + 1).cast("int").alias("val_pos"), "val")
+    d = F.coalesce(F.array_join(F.transform(F.filter("delimiters", lambda x: x.kind == F.col("kind")), lambda x: x.delimiter), ""), F.lit(""))
+    m = m.select("doc_id", "seq", "kind", v.alias("v"), d.alias("d"))
+    pieces = F.filter(F.split(F.call_function("translate", F.col("v"), F.col("d"), F.repeat(F.lit(CUT), F.length("d"))), CUT), lambda p: F.length(F.trim(p)) > 0)
+    m = m.select("doc_id", "seq", F.flatten(F.transform(pieces, lambda p: _segments(p, F.col("kind")))).alias("segments"))
+    return _rows(m.where("size(segments) >= 2 or exists(segments, s -> s.n > 1)"))

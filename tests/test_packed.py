@@ -72,3 +72,18 @@ def test_round_trip(spark, marks):
             want["d", i] = full
     assert values(spark, rows) == want
     assert all(re.fullmatch(r"[1-9]\d*", v) for x in want.values() for v in x)
+
+
+def test_scores_decide(spark):
+    """The same delimiter parts values in one source and belongs to a value in another."""
+    rows = [("slash", i, None, f"smith/jones|{1990 + i}; lee/kim|2001") for i in range(4)] + [("parts", i, None, f"smith|{1990 + i}/lee|2001") for i in range(4)]
+    rows += [("amp", i, None, f"smith & jones|{1990 + i}; lee|2001") for i in range(4)] + [("plain", 1, None, "3/5")]
+    got = values(spark, rows)
+    assert got["slash", 0] == ["smith/jones|1990", "lee/kim|2001"] and got["parts", 1] == ["smith|1991", "lee|2001"] and got["amp", 2] == ["smith & jones|1992", "lee|2001"]
+    assert got["plain", 1] == ["3", "5"]
+
+
+def test_ranges_of_any_width(spark):
+    got = values(spark, [("a", 1, None, "5, 1-100002, 9"), ("a", 2, None, "12345678901234567891-12345678901234567889")])
+    assert len(got["a", 1]) == 100_004 and got["a", 1][:3] == ["5", "1", "2"] and got["a", 1][-2:] == ["100002", "9"]
+    assert got["a", 2] == ["12345678901234567889", "12345678901234567890", "12345678901234567891"]
