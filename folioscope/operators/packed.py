@@ -92,15 +92,27 @@ def _number(text: Column) -> Column:
     return F.regexp_replace(text, r"^0+(?=\d)", "")
 
 
-def _segments(piece: Column, kind: Column) -> Column:
-    """The values of a piece as structs (text, low, n): a text, or n whole numbers from low on."""
-    one = lambda t: F.struct(t.alias("text"), F.lit(None).cast("decimal(38,0)").alias("low"), F.lit(1).cast("bigint").alias("n"))
-    a, b = (F.regexp_extract(piece, RANGE, k).try_cast("decimal(38,0)") for k in (1, 2))
-    span = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.least(a, b).alias("low"), (F.abs(a - b) + 1).cast("bigint").alias("n")))
+def _ends(piece: Column, kind: str) -> tuple[Column, Column]:
+    return tuple(F.regexp_extract(piece, RANGE, k).try_cast(kind) for k in (1, 2))
+
+
+def _numbers(piece: Column) -> Column:
+    """The value of a numeric piece of one number, all numbers of a range, else the piece as it stands."""
+    a, b = _ends(piece, "bigint")
     single = F.regexp_extract(piece, r"^\D*(\d+)\D*$", 1)
-    number = F.when(single != "", F.array(one(_number(single)))).when(a.isNotNull() & b.isNotNull(), span).otherwise(F.array(one(F.trim(piece))))
-    in_key = kind == "ay_key"
-    return F.when(kind == "num", number).otherwise(F.transform(_author_years(piece, in_key), one))
+    return F.when(single != "", F.array(_number(single))).when(a.isNotNull() & b.isNotNull(), F.transform(F.sequence(F.least(a, b), F.greatest(a, b)), lambda i: i.cast("string"))).otherwise(F.array(F.trim(piece)))
+
+
+def _runs(pieces: Column) -> Column:
+    """The values of numeric pieces as structs (text, low, n): a text, or n whole numbers from low on."""
+
+    def one(piece: Column) -> Column:
+        a, b = _ends(piece, "decimal(38,0)")
+        single = F.regexp_extract(piece, r"^\D*(\d+)\D*$", 1)
+        text = F.when(single != "", _number(single)).when(a.isNull() | b.isNull(), F.trim(piece))
+        return F.struct(text.alias("text"), F.least(a, b).alias("low"), F.when(text.isNotNull(), F.lit(1)).otherwise((F.abs(a - b) + 1).cast("bigint")).alias("n"))
+
+    return F.transform(pieces, one)
 
 
 def _author_years(piece: Column, in_key: Column) -> Column:
@@ -114,15 +126,22 @@ def _author_years(piece: Column, in_key: Column) -> Column:
 
 
 def _rows(m: DataFrame) -> DataFrame:
-    """(doc_id, seq, val_pos, val) of marks (doc_id, seq, segments); a wide range is counted out over rows."""
-    wide = F.exists("segments", lambda s: s.n > IN_ROW)
-    count = lambda s: F.when(s.text.isNotNull(), F.array(s.text)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(s.n, F.lit(IN_ROW)) - 1), lambda i: (s.low + i).cast("decimal(38,0)").cast("string")))
-    short = m.where(~wide).select("doc_id", "seq", F.posexplode(F.flatten(F.transform("segments", count))).alias("p", "val")).select("doc_id", "seq", (F.col("p") + 1).cast("int").alias("val_pos"), "val")
-    before = F.aggregate(F.slice("segments", F.lit(1), F.col("k")), F.lit(0).cast("bigint"), lambda t, s: t + s.n)
-    long = m.where(wide).select("doc_id", "seq", "segments", F.posexplode("segments").alias("k", "s")).select("doc_id", "seq", before.alias("before"), "s")
-    long = long.select("doc_id", "seq", "before", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1, F.lit(IN_ROW).cast("bigint"))).alias("at"))
-    long = long.select("doc_id", "seq", "before", "s", F.explode(F.sequence("at", F.least(F.col("at") + IN_ROW, F.col("s.n")) - 1)).alias("i"))
-    return short.unionByName(long.select("doc_id", "seq", (F.col("before") + F.col("i") + 1).cast("int").alias("val_pos"), F.coalesce("s.text", (F.col("s.low") + F.col("i")).cast("decimal(38,0)").cast("string")).alias("val")))
+    """(doc_id, seq, val_pos, val) of marks (doc_id, seq, kind, pieces) with two values or more; a wide range is counted out over rows, in stretches."""
+    a, b = (lambda p: _ends(p, "decimal(38,0)")[0]), (lambda p: _ends(p, "decimal(38,0)")[1])
+    wide = (F.col("kind") == "num") & F.array_join("pieces", " ").rlike(r"\d{5}") & F.exists("pieces", lambda p: F.coalesce((F.abs(a(p) - b(p)) >= IN_ROW) | (F.greatest(a(p), b(p)) >= 10**18), F.lit(False)))
+    values = F.flatten(F.transform("pieces", lambda p: F.when(F.col("kind") == "num", _numbers(p)).otherwise(_author_years(p, F.col("kind") == "ay_key"))))
+    m = m.withColumn("wide", wide)
+    m = m.select("doc_id", "seq", F.when(~F.col("wide"), values).alias("vals"), F.when(F.col("wide"), _runs(F.col("pieces"))).alias("runs")).where("runs is not null or size(vals) >= 2")
+    zero, step = F.lit(0).cast("bigint"), F.lit(IN_ROW).cast("bigint")
+    part = lambda first, vals, low, n: F.struct(first.alias("first"), vals.alias("vals"), low.alias("low"), n.alias("n"))
+    before = lambda k: F.aggregate(F.slice("runs", F.lit(1), k), zero, lambda t, r: t + r.n)
+    stretch = lambda r, k, at: part(before(k) + at, F.when(r.text.isNotNull(), F.array(r.text)), r.low + at, F.least(step, r.n - at))
+    parts = F.flatten(F.transform("runs", lambda r, k: F.transform(F.sequence(zero, r.n - 1, step), lambda at: stretch(r, k, at).cast("struct<first:bigint,vals:array<string>,low:decimal(38,0),n:bigint>"))))
+    whole = F.array(part(zero, F.col("vals"), F.lit(None).cast("decimal(38,0)"), zero))
+    m = m.select("doc_id", "seq", F.explode(F.when(F.col("runs").isNull(), whole).otherwise(parts)).alias("x")).select("doc_id", "seq", "x.*")
+    counted = F.transform(F.sequence(zero, F.col("n") - 1), lambda i: (F.col("low") + i).cast("decimal(38,0)").cast("string"))
+    m = m.select("doc_id", "seq", "first", F.posexplode(F.when(F.col("vals").isNotNull(), F.col("vals")).otherwise(counted)).alias("p", "val"))
+    return m.select("doc_id", "seq", (F.col("first") + F.col("p") + 1).cast("int").alias("val_pos"), "val")
 
 
 def split_marks(marks: DataFrame, salt: int = 16) -> DataFrame:
@@ -151,5 +170,4 @@ def split_marks(marks: DataFrame, salt: int = 16) -> DataFrame:
     d = F.coalesce(F.array_join(F.transform(F.filter("delimiters", lambda x: x.kind == F.col("kind")), lambda x: x.delimiter), ""), F.lit(""))
     m = m.select("doc_id", "seq", "kind", v.alias("v"), d.alias("d"))
     pieces = F.filter(F.split(F.call_function("translate", F.col("v"), F.col("d"), F.repeat(F.lit(CUT), F.length("d"))), CUT), lambda p: F.length(F.trim(p)) > 0)
-    m = m.select("doc_id", "seq", F.flatten(F.transform(pieces, lambda p: _segments(p, F.col("kind")))).alias("segments"))
-    return _rows(m.where("size(segments) >= 2 or exists(segments, s -> s.n > 1)"))
+    return _rows(m.select("doc_id", "seq", "kind", pieces.alias("pieces")))
