@@ -51,3 +51,40 @@ def test_similarities():
 def test_empty(spark):
     none, some = spark.createDataFrame([], R), spark.createDataFrame(works(), W)
     assert link(none, some).count() == 0 and link(none, spark.createDataFrame([], W)).count() == 0
+
+
+def test_records_of_one_work_agree(spark):
+    """A work without authors and year: records of its title that contradict its other records are of another work; without the second side they are linked."""
+    w = works()
+    rows, k = [], 0
+    for ident, title, authors, year, _ in w:
+        for _ in range(2):
+            rows.append((k, title, authors, year, None, None, None))
+            k += 1
+    w.append(("bare", "Sparse forecasting of tidal erosion in alpine valleys", None, None, None))
+    rows += [(1000 + i, "Sparse forecasting of tidal erosion in alpine valleys", ["Rosa Abelmond", "Henrik Corlanes"], 2011, None, None, None) for i in range(6)]
+    rows += [(2000, "Sparse forecasting of tidal erosion in alpine valleys", ["Milan Fostwurm", "Ravi Gronkel"], 1991, None, None, None)]
+    r, ws = spark.createDataFrame(rows, R), spark.createDataFrame(w, W)
+    found = {both: {x.rec_id for x in link(r, ws, both_sides=both).where("identifier = 'bare'").collect()} for both in (True, False)}
+    assert found[False] == {*range(1000, 1006), 2000} and found[True] == set(range(1000, 1006))
+
+
+def test_blocking_recall(spark):
+    """Pairs that the whole comparison of all records with all works would link are candidates."""
+    from folioscope.llm import link as m
+
+    r, w = random.Random(4), works(120, 3)
+    rows = []
+    for i in range(150):
+        ident, title, authors, year, _ = r.choice(w)
+        t = title.split()
+        for _ in range(r.randint(0, 2)):
+            j = r.randrange(len(t))
+            t[j] = t[j][:1] + t[j][2:] if len(t[j]) > 4 else t[j]
+        rows.append((i, " ".join(t), r.choice([authors, authors[:1], None]), r.choice([year, year + 1, None]), None, None, None))
+    left = m.described(spark.createDataFrame(rows, R), "rec_id", "raw")
+    right = m.described(spark.createDataFrame(w, W), "identifier")
+    got = {(x.rec_id, x.identifier) for x in m.candidates(left, right, "rec_id", "identifier").collect()}
+    a, b = [x.asDict() for x in left.collect()], [x.asDict() for x in right.collect()]
+    like = {(x["rec_id"], y["identifier"]) for x in a for y in b if m.title_similarity(m.cut(x["tokens"]), m.cut(y["tokens"]), m.cut(x["numbers"]), m.cut(y["numbers"])) >= 0.9}
+    assert len(like) > 100 and len(like & got) >= 0.99 * len(like)
