@@ -5,15 +5,19 @@ rare to frequent words and indexed by a prefix that every similar set must meet.
 shares its longest field with another one (the leader) and differs from it in up to NEAR words either way is not looked up: the
 leader is, with an overlap lower by NEAR, and the follower's answers are derived from the leader's, adding and subtracting
 what the few differing words have in common with each answer. An index list is kept by position of the word in its set and by set size within a
-position; for a probing set, sizes and positions that can't reach the overlap any more are one contiguous range a block each
-and are skipped unread. What is left is tested by bitmaps of 256 bits, and only the few that pass are verified on their words.
+position; for probing sets of like size, sizes and positions that can't reach the overlap any more are one contiguous range a block
+each and are skipped unread. What is left is tested by bitmaps of 256 bits, tile by tile, and only the few that pass are verified
+on their words.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,12 +30,12 @@ from folioscope.session import spread, written
 
 #: Word counts are kept in so many cells, whatever the data: enough to order words and to bound the length of index lists.
 CELLS = 1 << 17
-#: Index lists are split into blocks of about so many sets; blocks meet in pairs.
-BLOCK = 4096
+#: Index lists are split into parts of about so many sets; parts meet in pairs.
+BLOCK = 16_384
 #: Words that a follower may have beyond its leader, and the leader beyond it.
 NEAR = 2
-#: Pairs tested at once.
-CHUNK = 1 << 20
+#: Pairs tested at once; probing sets of one tile.
+CHUNK, TILE = 1 << 20, 256
 WORD = re.compile(r"[^\W_]+")
 BITS = ["b0", "b1", "b2", "b3"]
 
@@ -40,18 +44,22 @@ def words_of(*texts: str | None) -> list[str]:
     return WORD.findall(" ".join(t for t in texts if t).lower())
 
 
+@lru_cache(maxsize=1 << 17)
+def hash_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - 2**63
+
+
 def hashed(words: list[str]) -> list[int]:
     """A signed 64-bit hash of every word with its number of occurrence."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in words:
-        k = seen[w] = seen.get(w, 0) + 1
-        out.append(xxhash.xxh64_intdigest(w if k == 1 else f"{w}\x00{k}") - 2**63)
+    counts = Counter(words)
+    out = list(map(hash_of, counts))
+    if len(counts) < len(words):
+        out.extend(hash_of(f"{w}\x00{k}") for w, n in counts.items() if n > 1 for k in range(2, n + 1))
     return out
 
 
 def digest(tokens: list[int]) -> int:
-    return xxhash.xxh64_intdigest(np.array(tokens, np.int64).tobytes()) - 2**63
+    return xxhash.xxh64_intdigest(array("q", tokens).tobytes()) - 2**63
 
 
 def _sets(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -61,10 +69,10 @@ def _sets(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
         for b in batches:
             rows = []
             for k, *texts in b.itertuples(index=False, name=None):
-                tokens = sorted(hashed(words_of(*texts)))
+                words = [words_of(t) for t in texts]
+                tokens = sorted(hashed([w for ws in words for w in ws]))
                 if tokens:
-                    core = max((sorted(hashed(words_of(t))) for t in texts), key=len)
-                    rows.append((k, digest(tokens), digest(core), tokens))
+                    rows.append((k, digest(tokens), hash_of(" ".join(sorted(max(words, key=len)))), tokens))
             yield pd.DataFrame(rows, columns=[key, "sid", "core", "tokens"])
 
     return spread(records.where(F.col(key).isNotNull()).select(key, *columns)).mapInPandas(read, f"{key} {dict(records.dtypes)[key]}, sid bigint, core bigint, tokens array<bigint>")
@@ -105,40 +113,73 @@ def _meets(s: dict, l: dict, t: Fraction, first: np.ndarray, end: np.ndarray) ->
     return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
 
 
-def _rows(b: pd.DataFrame, pick: np.ndarray) -> dict:
-    d = {c: b[c].to_numpy()[pick].astype(np.int64) for c in ("n", "pos", "sid", "near")}
-    return d | {c: b[c].to_numpy()[pick].view(np.uint64) for c in BITS}
+def _tiles(s: dict, l: dict, t: Fraction) -> Iterator[np.ndarray]:  # noqa: E741
+    """Index pairs (row of s, row of l) that pass, s sorted by size, l by position and size: one tile for each position of l and some probing sets of like size."""
+    num, den = t.numerator, t.denominator
+    largest = int(s["n"].max() + l["n"].max())
+    sums = np.arange(largest + 1)
+    slack = np.minimum(255, np.maximum.accumulate(sums - 2 * _least(sums, 0, t))).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, l["pos"][1:] != l["pos"][:-1]])
+    groups = list(zip(l["pos"][cut], cut, np.r_[cut[1:], len(l["pos"])]))
+    for x in range(0, len(s["n"]), TILE):
+        z = min(x + TILE, len(s["n"]))
+        small, large, r = int(s["n"][x]), int(s["n"][z - 1]), int(s["near"][x:z].max())
+        left = int((s["n"][x:z] - s["pos"][x:z]).max()) + r
+        hits = []
+        for j, a, e in groups:
+            sizes = l["n"][a:e]
+            least = max(small - r, -(-((num + den) * (int(j) - r) + num * small) // den))  # shorter ones end before the overlap is reached
+            most = min((large + r) * den // num, left * (num + den) // num - small)  # longer ones need more than is left
+            lo, hi = a + int(np.searchsorted(sizes, least, "left")), a + int(np.searchsorted(sizes, most, "right"))
+            if lo >= hi:
+                continue
+            # half of the bits tell nearly all unlike sets apart; the room is that of the tile's largest set
+            diff = np.bitwise_count(s["b0"][x:z, None] ^ l["b0"][None, lo:hi])
+            diff += np.bitwise_count(s["b1"][x:z, None] ^ l["b1"][None, lo:hi])
+            room = np.minimum(255, slack[large + sizes[lo - a : hi - a]] + 2 * r).astype(np.uint8)
+            hit = np.flatnonzero(diff <= room)
+            if len(hit):
+                i = hit // (hi - lo)
+                hits.append((i + x, hit - i * (hi - lo) + lo))
+        if hits:
+            yield _passed(s, l, t, np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
+
+
+def _passed(s: dict, l: dict, t: Fraction, i: np.ndarray, j: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Those index pairs that pass the size and position tests."""
+    a, b, near = s["n"][i], l["n"][j], s["near"][i]
+    need = _least(a, b, t) - near
+    ok = (a < b) | (a == b) & (s["sid"][i] < l["sid"][j]) | (near > 0) & (a - near <= b) & (s["sid"][i] != l["sid"][j])
+    ok &= (b * t.numerator <= (a + near) * t.denominator) & (a - s["pos"][i] >= need) & (b - l["pos"][j] >= need)
+    i, j, room = i[ok], j[ok], (a + b - 2 * need)[ok]
+    for c, d in (("b2", "b3"), ("b0", "b1")):
+        diff = sum(np.bitwise_count(s[w][i] ^ l[w][j]).astype(np.int64) for w in (c, d))
+        keep = diff <= room
+        i, j, room = i[keep], j[keep], (room - diff)[keep]
+    return np.stack([i, j])
 
 
 def _probe(b: pd.DataFrame, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(probing sid, listed sid) of candidates in whole index blocks, sorted by block, role, position and size (roles: 0 probes, 1 is listed)."""
-    block, role = b["block"].to_numpy(), b["role"].to_numpy()
+    """(probing sid, listed sid) of candidates in whole index blocks, sorted by block, position and size."""
+    block, side, probes = b["block"].to_numpy(), b["side"].to_numpy(), b["probes"].to_numpy()
+    rows = {c: b[c].to_numpy().astype(np.int64) for c in ("n", "pos", "sid", "near")} | {c: b[c].to_numpy().view(np.uint64) for c in BITS}
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     ends = np.r_[starts[1:], len(block)]
-    listed = np.r_[0, np.cumsum(role == 1)]
-    n_listed = listed[ends] - listed[starts]
-    n_probe = ends - starts - n_listed
-    small = n_probe * n_listed <= 4096
+    asked = np.r_[0, np.cumsum(probes)]
+    small = (asked[ends] - asked[starts]) * (ends - starts) <= 4096
     which = np.repeat(np.arange(len(starts)), ends - starts)
-    s_at, l_at = np.flatnonzero((role == 0) & small[which]), np.flatnonzero(role == 1)
-    s, l = _rows(b, s_at), _rows(b, l_at)  # noqa: E741
-    g = which[s_at]
-    pairs = _meets(s, l, t, listed[starts][g], listed[ends][g])
-    yield s["sid"][pairs[0]], l["sid"][pairs[1]]
-    num, den = t.numerator, t.denominator
-    for k in np.flatnonzero(~small & (n_probe > 0) & (n_listed > 0)):
-        s = _rows(b, np.arange(starts[k], starts[k] + n_probe[k]))
-        lo, hi = listed[starts[k]], listed[ends[k]]
-        part = {c: v[lo:hi] for c, v in l.items()}
-        cut = np.flatnonzero(np.r_[True, part["pos"][1:] != part["pos"][:-1]])
-        for a, z in zip(cut, np.r_[cut[1:], len(part["pos"])]):  # the block of one position, sorted by size
-            j = int(part["pos"][a])
-            sizes = part["n"][a:z]
-            r = s["near"]
-            least = np.maximum(s["n"] - r, -(-((num + den) * (j - r) + num * s["n"]) // den))  # shorter ones end before the overlap is reached
-            most = np.minimum((s["n"] + r) * den // num, ((s["n"] - s["pos"] + r) * (num + den)) // num - s["n"])  # longer ones need more than is left
-            pairs = _meets(s, part, t, a + np.searchsorted(sizes, least, "left"), a + np.searchsorted(sizes, most, "right"))
-            yield s["sid"][pairs[0]], part["sid"][pairs[1]]
+    at = np.flatnonzero(probes & small[which])
+    pairs = _meets({c: v[at] for c, v in rows.items()}, rows, t, starts[which[at]], ends[which[at]])
+    yield rows["sid"][at[pairs[0]]], rows["sid"][pairs[1]]
+    for k in np.flatnonzero(~small):
+        here = np.arange(starts[k], ends[k])
+        for mine, theirs in ((2, 2), (0, 1), (1, 0)):  # one part with itself, or two parts of a list
+            p, l_at = here[probes[here] & (side[here] == mine)], here[side[here] == theirs]
+            if len(p) and len(l_at):
+                p = p[np.argsort(rows["n"][p], kind="stable")]
+                s, l = {c: v[p] for c, v in rows.items()}, {c: v[l_at] for c, v in rows.items()}  # noqa: E741
+                for pairs in _tiles(s, l, t):
+                    yield s["sid"][pairs[0]], l["sid"][pairs[1]]
 
 
 def followers(sets: DataFrame) -> DataFrame:
@@ -167,33 +208,36 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for sid, tokens, near, follows in zip(b["sid"], b["tokens"], b["near"], b["follows"]):
-                tokens = np.asarray(tokens, np.int64)
-                n = len(tokens)
-                bits = np.zeros(256, np.uint8)
-                bits[(tokens >> 20) & 255] = 1
-                words = np.packbits(bits).view(np.int64)
-                count = shared.value[tokens & mask]
-                order = np.lexsort((tokens, count))
-                # how far a similar set's first common word may stand: listed for any smaller set, probing for any larger one
-                listed = n + 1 - max(1, int(_least(n, -((-n * t.numerator) // t.denominator) - NEAR, t)) - NEAR)
-                probing = 0 if follows else n + 1 - max(1, int(_least(n, n - near, t)) - near)
-                for pos in range(min(n, max(listed, probing))):
-                    token, c = int(tokens[order[pos]]), int(count[order[pos]])
-                    if c < 2:
-                        continue
-                    parts = -(-c // BLOCK)
-                    mine = sid % parts
-                    for other in range(parts):
-                        if pos < probing:
-                            out.append((hash((token, mine, other)), 0, pos, n, near, sid, *words))
-                        if pos < listed:
-                            out.append((hash((token, other, mine)), 1, pos, n, 0, sid, *words))
-            yield pd.DataFrame(out, columns=["block", "role", "pos", "n", "near", "sid", *BITS])
-
-    index = roles.mapInPandas(entries, "block bigint, role int, pos int, n int, near int, sid bigint, " + ", ".join(f"{c} bigint" for c in BITS))
-    index = index.repartition("block").sortWithinPartitions("block", "role", "pos", "n")
+            if not len(b):
+                continue
+            n = b["tokens"].str.len().to_numpy(np.int64)
+            tokens, own = np.concatenate(b["tokens"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(b)), n)
+            bits = np.zeros((len(b), 256), np.uint8)
+            bits[own, (tokens >> 20) & 255] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            count = shared.value[tokens & mask]
+            order = np.lexsort((tokens, count, own))
+            tokens, count = tokens[order], count[order]
+            pos = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            # how far a similar set's first common word may stand: listed for any smaller set, probing for any larger one
+            near = b["near"].to_numpy(np.int64)
+            listed = n + 1 - np.maximum(1, _least(n, -((-n * t.numerator) // t.denominator) - NEAR, t) - NEAR)
+            probing = np.where(b["follows"].to_numpy(bool), 0, n + 1 - np.maximum(1, _least(n, n - near, t) - near))
+            at = np.flatnonzero((pos < np.maximum(listed, probing)[own]) & (count > 1))
+            parts = -(-count[at] // BLOCK)
+            at, other = np.repeat(at, parts), np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            who, sid = own[at], b["sid"].to_numpy(np.int64)
+            mine = sid[who] % np.repeat(parts, parts)
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            with np.errstate(over="ignore"):
+                key = tokens[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (low << 32 | high).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                key ^= key >> np.uint64(31)
+            side = np.where(low == high, 2, np.where(mine == low, 0, 1))
+            out = {"block": key.view(np.int64), "side": side.astype(np.int8), "probes": pos[at] < probing[who], "pos": pos[at].astype(np.int32), "n": n[who].astype(np.int32), "near": near[who].astype(np.int8), "sid": sid[who]}
+            yield pd.DataFrame(out | {c: words[who, k] for k, c in enumerate(BITS)})
+
+    index = roles.mapInPandas(entries, "block bigint, side tinyint, probes boolean, pos int, n int, near tinyint, sid bigint, " + ", ".join(f"{c} bigint" for c in BITS))
+    index = index.repartition("block").sortWithinPartitions("block", "pos", "n")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole(batches, "block"):
@@ -229,7 +273,11 @@ def duplicate_pairs(records: DataFrame, key: str, columns: list[str], least: flo
     members, links = near_duplicates(records, key, columns, least)
     a, b = members.select(F.col(key).alias("x"), F.col("sid").alias("sid_a")), members.select(F.col(key).alias("y"), F.col("sid").alias("sid_b"))
     across = links.join(a, "sid_a").join(b, "sid_b").select("x", "y")
-    same = a.join(b.withColumnRenamed("sid_b", "sid_a"), "sid_a").where("x < y").select("x", "y")
+    # equal sets: a class of many copies is split over parts of its right side
+    many = members.groupBy("sid").agg((F.floor(F.count("*") / 512) + 1).alias("parts"), F.count("*").alias("n")).where("n > 1").select(F.col("sid").alias("sid_a"), "parts")
+    left = a.join(many, "sid_a").select("sid_a", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    right = b.withColumnRenamed("sid_b", "sid_a").join(many, "sid_a").select("sid_a", "y", F.pmod(F.xxhash64("y"), "parts").alias("part"))
+    same = left.join(right, ["sid_a", "part"]).where("x < y").select("x", "y")
     return across.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
