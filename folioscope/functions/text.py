@@ -34,6 +34,3 @@ def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
-
-def first_word(c: Column) -> Column:
-    return F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)

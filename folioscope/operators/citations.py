@@ -13,7 +13,8 @@ from pyspark.sql.window import Window as W
 from folioscope.functions.text import norm_ws, plain, word_set
 
 RANGE = r"^\s*(\d{1,9})\s*[-–—‑~～－]\s*(\d{1,9})\s*$"
-WIDEST = 10_000
+#: Runs of numbers are counted out in stretches of so many.
+STRETCH = 10_000
 
 
 def entries_of(records: DataFrame) -> DataFrame:
@@ -25,9 +26,16 @@ def mark_numbers(marks: DataFrame) -> DataFrame:
     m = marks.dropDuplicates(["doc_id", "seq"]).where("key is not null and not contains(key, '|')")
     a, b = (F.regexp_extract("p", RANGE, k).try_cast("int") for k in (1, 2))
     m = m.select("doc_id", "seq", "block_id", F.explode(F.split("key", "[,;，；、]")).alias("p"))
-    wide = a.isNotNull() & (F.abs(a - b) <= WIDEST)
-    each = F.when(wide, F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(F.transform(F.regexp_extract_all("p", F.lit(r"(\d{1,9})"), 1), lambda x: x.cast("int")))
-    return m.select("doc_id", "seq", "block_id", F.explode(each).alias("number"))
+    one = lambda x: F.struct(x.cast("int").alias("low"), x.cast("int").alias("high"))
+    runs = F.when(a.isNotNull(), F.array(F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))).otherwise(F.transform(F.regexp_extract_all("p", F.lit(r"(\d{1,9})"), 1), one))
+    return counted_out(m.select("doc_id", "seq", "block_id", F.explode(runs).alias("r")).select("doc_id", "seq", "block_id", "r.low", "r.high"))
+
+
+def counted_out(runs: DataFrame) -> DataFrame:
+    """All whole numbers from low to high as `number`, however many, a stretch at a time."""
+    keep = [c for c in runs.columns if c not in ("low", "high")]
+    at = runs.where("low <= high").select(*keep, "high", F.explode(F.sequence("low", "high", F.lit(STRETCH))).alias("at"))
+    return at.select(*keep, F.explode(F.sequence("at", F.least(F.col("at") + STRETCH - 1, "high"))).alias("number"))
 
 
 def range_expand(marks: DataFrame) -> DataFrame:
@@ -67,8 +75,9 @@ def duplicates(records: DataFrame) -> DataFrame:
 
 def gaps(records: DataFrame) -> DataFrame:
     """Numbers from 1 to a document's highest that no entry bears."""
-    e = entries_of(records).where("number > 0").groupBy("doc_id").agg(F.max("number").alias("top"), F.collect_set("number").alias("have"))
-    return e.select("doc_id", F.explode(F.array_except(F.sequence(F.lit(1), "top"), "have")).alias("number"))
+    e = entries_of(records).where("number > 0").select("doc_id", "number")
+    top = e.groupBy("doc_id").agg(F.lit(1).alias("low"), F.max("number").alias("high"))
+    return counted_out(top).join(e.distinct(), ["doc_id", "number"], "left_anti")
 
 
 def first_appearance(records: DataFrame, marks: DataFrame) -> DataFrame:
@@ -199,6 +208,3 @@ def support(records: DataFrame, works: DataFrame, top: int = 3) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("rec_id", "identifier").orderBy(F.desc("overlap"), "passage_no"))
     return j.withColumn("k", rank).where(F.col("k") <= top).drop("k")
 
-
-def normalised_raw(records: DataFrame) -> DataFrame:
-    return records.dropDuplicates(["rec_id"]).select("rec_id", norm_ws(F.col("raw")).alias("raw"))

@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
-from pyspark.sql.window import Window as W
 
 from folioscope.functions.text import norm_ws, plain, word_set
 from folioscope.operators.findings import linked_classes, rated
-from folioscope.operators.structure import numbered_sections
+from folioscope.operators.running import running_last, running_min, running_sum
+from folioscope.operators.structure import BIBLIOGRAPHY, numbered_sections
 from folioscope.session import spread, written
 
 #: Longs of a title's parity bits by the length of the character sequences they stand for; parts of a list of works (fixed values).
@@ -284,18 +284,23 @@ def distinct_words(blocks: DataFrame) -> DataFrame:
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, path): the headings that a heading stands under, by level 1 to 3, itself last.
+    """(doc_id, block_id, path): the headings that a heading of level 1 to 3 stands under, itself last.
 
-    A heading's parent on a level is the last one of that level before it, if no heading of a lower level number came between.
+    Headings form a stack that a heading of level k cuts to k - 1 titles before its own is put on; those of reference lists stand
+    under the stack and are not put on it. The depth of the n-th heading is the least of n and, over all headings m up to it,
+    level(m) + n - m: a running minimum, so that no manuscript is held whole.
     """
-    h = blocks.dropDuplicates(["doc_id", "block_id"]).where("kind = 'heading' and heading_level between 1 and 3")
-    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    at = lambda k: F.when(F.col("heading_level") == k, F.struct("pos", "text"))
-    h = h.withColumn("h1", last(at(1))).withColumn("h2", last(at(2)))
-    one = F.when((F.col("heading_level") > 1) & F.col("h1").isNotNull(), F.col("h1.text"))
-    two = F.when((F.col("heading_level") > 2) & F.col("h2").isNotNull() & (F.coalesce("h1.pos", F.lit(-1)) < F.col("h2.pos")), F.col("h2.text"))
-    return h.select("doc_id", "block_id", F.concat_ws(" > ", one, two, "text").alias("path"))
+    h = blocks.dropDuplicates(["doc_id", "block_id"]).where("kind = 'heading' and heading_level between 1 and 3").select("doc_id", "block_id", "pos", F.trim("text").alias("title"), "heading_level")
+    h = h.withColumn("own", ~F.coalesce(F.col("title").rlike(BIBLIOGRAPHY), F.lit(False)))
+    h = running_sum(h, "doc_id", "pos", F.col("own").cast("int"), "n")
+    h = running_min(h, "doc_id", "pos", F.when(F.col("own"), F.col("heading_level") - F.col("n")), "least")
+    h = h.withColumn("depth", F.col("n") + F.least(F.lit(0), F.coalesce("least", F.lit(0))))
+    for k in (1, 2, 3):
+        h = running_last(h, "doc_id", "pos", F.when(F.col("own") & (F.col("depth") == k), F.struct("pos", "title")), f"h{k}")
+    above = lambda k: F.when(F.col("depth") > k, F.col(f"h{k}.title"))
+    under = lambda k: F.when(F.col("depth") >= k, F.col(f"h{k}.title"))
+    path = F.when(F.col("own"), F.concat_ws(" > ", above(1), above(2), "title")).otherwise(F.concat_ws(" > ", under(1), under(2), under(3), "title"))
+    return h.select("doc_id", "block_id", path.alias("path"))
 
 
 def author_tokens(records: DataFrame) -> DataFrame:

@@ -35,3 +35,13 @@ def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, w
     sums = sums.select(key, "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.sum("_value").over(W.partitionBy(key, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return d.withColumn("_inside", inside).join(sums, [key, "_stretch"]).withColumn(name, F.col("_before") + F.coalesce("_inside", F.lit(0))).drop("_value", "_stretch", "_inside", "_before")
+
+
+def running_min(df: DataFrame, key: str, order: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
+    """df with the least value that is not null up to and with each row of its key."""
+    d = _stretches(df.withColumn("_value", value), order, width)
+    ends = d.groupBy(key, "_stretch").agg(F.min("_value").alias("s"))
+    before = F.min("s").over(W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(key, "_stretch", before.alias("_before"))
+    inside = F.min("_value").over(W.partitionBy(key, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn("_inside", inside).join(ends, [key, "_stretch"]).withColumn(name, F.least("_inside", "_before")).drop("_value", "_stretch", "_inside", "_before")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import norm_ws, slug, word_set
+from folioscope.operators.citations import counted_out
 from folioscope.operators.running import running_last, running_sum
 
 #: Headings of reference lists and of the sections every manuscript needs (fixed values).
@@ -18,6 +19,9 @@ REQUIRED = {
     "background": r"(?i)研究背景|背景|引言|绪论|introduction|einleitung", "related work": r"(?i)研究现状|文献综述|相关工作|related work|国内外|stand der forschung|travaux antérieurs",
     "methods": r"(?i)研究内容|研究方法|方法|主要内容|方案|method", "references": r"(?i)参考文献|references|références|literatur",
 }
+#: Signs of the chapters of Chinese manuscripts, from one to ten (fixed values).
+CHAPTERS = "一二三四五六七八九十"
+#: Captions and references to figures and tables (fixed values).
 CAPTION = r"(?i)^\s*(图|表|figure|table|fig\.?|abbildung|tabelle|tableau)\s*(\d+(?:[-.]\d+)*)\s*[.、:：]?\s*(.*)$"
 REFERENCE = r"(?i)(图|表|figure|table|fig\.|abbildung|tabelle|tableau)\s*(\d+(?:[-.]\d+)*)"
 TABLES = ["表", "table", "tabelle", "tableau"]
@@ -74,14 +78,23 @@ def heading_like(blocks: DataFrame) -> DataFrame:
     return blocks_of(blocks).where(F.col("kind").isin("paragraph", "list_item") & (F.length("text") <= 180) & (named | numbered)).select("doc_id", "block_id")
 
 
-def heading_gaps(blocks: DataFrame) -> DataFrame:
-    """(doc_id, parent, missing): numbers missing between the first and the highest heading number under one parent."""
-    number = F.replace(F.regexp_extract("text", r"^\s*(\d{1,6}(?:[.\-]\d{1,6})*)[\s、.]+", 1), F.lit("-"), F.lit("."))
-    h = headings(blocks).withColumn("number", number).where("number <> ''")
+def heading_numbers(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block_id, pos, parent, n): the number of a numbered heading and that of its parent; a Chinese chapter's sign counts as one number."""
+    number = F.replace(F.regexp_extract("text", r"^\s*(\d{1,18}(?:[.\-]\d{1,18})*)[\s、.]+", 1), F.lit("-"), F.lit("."))
+    chapter = F.instr(F.lit(CHAPTERS), F.regexp_extract("text", rf"^\s*第([{CHAPTERS}])[章节部分]", 1))
+    chapter = F.when(F.col("text").rlike(rf"^\s*第[{CHAPTERS}][章节部分]"), chapter.cast("string")).otherwise("")
+    h = headings(blocks).withColumn("number", F.when(number != "", number).otherwise(chapter)).where("number <> ''")
     parts = F.split("number", r"\.")
-    h = h.select("doc_id", "pos", F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".").alias("parent"), F.element_at(parts, -1).cast("int").alias("n"))
-    g = h.groupBy("doc_id", "parent").agg(F.min_by("n", "pos").alias("first"), F.max("n").alias("top"), F.collect_set("n").alias("have"), F.count("*").alias("k")).where("k >= 2 and first < top and top - first < 100000")
-    return g.select("doc_id", "parent", F.explode(F.array_except(F.sequence("first", "top"), "have")).alias("missing"))
+    return h.select("doc_id", "block_id", "pos", F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".").alias("parent"), F.element_at(parts, -1).cast("bigint").alias("n"))
+
+
+def heading_gaps(blocks: DataFrame) -> DataFrame:
+    """(doc_id, parent, missing): numbers missing between the first and the highest heading number under one parent, in documents of three headings or more."""
+    enough = headings(blocks).where("heading_level > 0 and trim(text) <> ''").groupBy("doc_id").agg(F.count("*").alias("k")).where("k >= 3").select("doc_id")
+    h = heading_numbers(blocks)
+    g = h.groupBy("doc_id", "parent").agg(F.min_by("n", "pos").alias("low"), F.max("n").alias("high"), F.count("*").alias("k")).where("k >= 2 and low < high").join(enough, "doc_id", "left_semi")
+    all_ = counted_out(g.select("doc_id", "parent", "low", "high"))
+    return all_.join(h.select("doc_id", "parent", F.col("n").alias("number")).distinct(), ["doc_id", "parent", "number"], "left_anti").withColumnRenamed("number", "missing")
 
 
 def bibliography_region(blocks: DataFrame) -> DataFrame:
@@ -153,6 +166,7 @@ def undefined_acronyms(blocks: DataFrame) -> DataFrame:
     return acronyms(blocks).join(known, ["doc_id", "acronym"], "left_anti")
 
 
+#: What gives a writer away (fixed values).
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 IDENTITY = r"(?i)(?:作者|姓名|单位|机构|邮箱|通讯作者|author|affiliation|institution|corresponding\s+author|laboratory|lab)\s*[:：]"
 

@@ -15,7 +15,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.units import ALIASES, UNITS
@@ -27,6 +27,10 @@ HEADINGS = [re.compile(p) for p in (r"[(（]\s*[^()（）]*?[,，]\s*([^()（）
 #: "12.5 in the control arm" has no inches.
 PREPOSITION = re.compile(r"\s*in\s+(?!in\b)\w")
 SHIFT = str.maketrans("０１２３４５６７８９．，％−", "0123456789.,%-")
+#: Behind a number a unit is sought no further than the longest alias reaches.
+LONGEST = max(len(a) for a, _, _ in ALIASES)
+#: metric_dims is a small table; more metrics than this are an error.
+MOST_METRICS = 10_000
 #: Facts whose metric is in no row of metric_dims, and those without a usable number or unit, have no row.
 PARTS = "fact_id bigint, metric_key string, amount string, unit string"
 
@@ -84,7 +88,7 @@ def _whole(text: str, dimension: str) -> str | None:
 def _behind(text: str, at: int, dimension: str) -> tuple[str | None, int]:
     """The unit that starts at `at`, spaces and one opening bracket apart, and where it ends."""
     gap = len(text[at:]) - len(text[at:].lstrip("   ([-"))
-    for start, end, unit in unit_spans(text[at : at + 40], dimension):
+    for start, end, unit in unit_spans(text[at : at + gap + LONGEST + 1], dimension):
         if start == gap or start <= gap < end:
             return unit, at + end
         if start > gap:
@@ -156,7 +160,10 @@ def quantities(facts: DataFrame, dims: DataFrame) -> DataFrame:
     amount is an exact ratio of two integers. Repeated facts count once; null fields are read as blank; other columns are ignored.
     """
     f = facts.where((F.col("kind") == "value") & F.col("fact_id").isNotNull()).select("fact_id", "metric", "value", "unit", "context", "raw").dropDuplicates(["fact_id"])
-    known = {r["metric"].strip().lower(): r["dimension"] for r in dims.select("metric", "dimension").distinct().limit(10_000).collect() if r["metric"]}
+    listed = dims.select("metric", "dimension").distinct().limit(MOST_METRICS + 1).collect()
+    if len(listed) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} metrics")
+    known = {r["metric"].strip().lower(): r["dimension"] for r in listed if r["metric"]}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,7 +180,7 @@ def quantities(facts: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def to_base_units(facts: DataFrame, dims: DataFrame) -> DataFrame:
-    """(fact_id, dimension, unit, base_unit, base_value BIGINT), nearest whole number, halves away from zero.
+    """(fact_id, dimension, unit, base_unit, base_value BIGINT), nearest whole number, halves away from zero; null beyond 64 bits.
 
     A proportion without unit is a fraction of one; a quantity without unit is a plain number; other facts without unit are left out.
     """
@@ -188,12 +195,12 @@ def to_base_units(facts: DataFrame, dims: DataFrame) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def scaled(amount: pd.Series, fn: pd.Series, fd: pd.Series, on: pd.Series, od: pd.Series) -> pd.Series:
-        def one(a: str, n: str, d: str, p: str, r: str) -> int:
+        def one(a: str, n: str, d: str, p: str, r: str) -> int | None:
             x = (Fraction(a) + Fraction(int(p), int(r))) * Fraction(int(n), int(d))
-            y = int((abs(x) * 2 + 1) // 2)
-            return max(-(2**63), min(2**63 - 1, y if x >= 0 else -y))
+            y = int((abs(x) * 2 + 1) // 2) * (1 if x >= 0 else -1)
+            return y if -(2**63) <= y < 2**63 else None
 
-        return pd.Series([one(*t) for t in zip(amount, fn, fd, on, od)], dtype="int64")
+        return pd.Series([one(*t) for t in zip(amount, fn, fd, on, od)], dtype="Int64")
 
     return q.select("fact_id", "dimension", "unit", "base_unit", "mixed", scaled("amount", "fn", "fd", "on", "od").alias("base_value"))
 
@@ -202,7 +209,3 @@ def converted(facts: DataFrame, dims: DataFrame) -> DataFrame:
     """(fact_id, base_unit, base_value) of the facts stated in another unit than the base unit of their metric."""
     return to_base_units(facts, dims).where((F.col("unit") != F.col("base_unit")) | F.col("mixed")).select("fact_id", "base_unit", "base_value")
 
-
-def unit_of(column: Column, dimension: str) -> Column:
-    """The unit a free text names, for one dimension; null if none."""
-    return F.udf(lambda t: _whole(_clean(t), dimension), "string")(column)

@@ -10,7 +10,7 @@ ENTRIES = "e AS (SELECT DISTINCT doc_id, seq, entry_index AS number, key, raw, b
 NUMBERS = r"""m0 AS (SELECT DISTINCT doc_id, seq, key, block_id FROM marks WHERE key IS NOT NULL AND NOT contains(key, '|')),
 m1 AS (SELECT doc_id, seq, block_id, unnest(string_split_regex(key, '[,;，；、]')) AS p FROM m0),
 m2 AS (SELECT *, try_cast(regexp_extract(p, '^\s*(\d{1,9})\s*[-–—‑~～－]\s*(\d{1,9})\s*$', 1) AS INT) AS a, try_cast(regexp_extract(p, '^\s*(\d{1,9})\s*[-–—‑~～－]\s*(\d{1,9})\s*$', 2) AS INT) AS b FROM m1),
-m AS (SELECT doc_id, seq, block_id, unnest(CASE WHEN a IS NOT NULL AND abs(a - b) <= 10000 THEN range(least(a, b), greatest(a, b) + 1) ELSE list_transform(regexp_extract_all(p, '(\d{1,9})', 1), lambda x: CAST(x AS BIGINT)) END) AS number FROM m2)"""
+m AS (SELECT doc_id, seq, block_id, unnest(CASE WHEN a IS NOT NULL THEN range(least(a, b), greatest(a, b) + 1) ELSE list_transform(regexp_extract_all(p, '(\d{1,9})', 1), lambda x: CAST(x AS BIGINT)) END) AS number FROM m2)"""
 WITH = f"WITH {ENTRIES}, {NUMBERS}"
 UNUSED = "SELECT DISTINCT doc_id, number FROM e WHERE number IS NOT NULL AND (doc_id, number) NOT IN (SELECT (doc_id, number) FROM m)"
 MISSING = "SELECT doc_id, CAST(number AS INT) AS number, count(DISTINCT seq) AS n_marks, arg_min(block_id, seq) AS first_block FROM m WHERE (doc_id, number) NOT IN (SELECT (doc_id, number) FROM e WHERE number IS NOT NULL) GROUP BY 1, 2"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioscope.functions.text import WS
 from folioscope.operators import editing as e
+from folioscope.operators.structure import BIBLIOGRAPHY
 from folioscope.plans.registry import Registry
 
 R = Registry()
@@ -35,12 +36,18 @@ R.add(
 )
 R.add("match_gold", "findings", e.matched_gold)
 R.add("prf_matched", "findings", e.matched_scores)
-R.add("distinct_ordered", "blocks", e.distinct_words)
+R.add(
+    "distinct_ordered", "blocks", e.distinct_words,
+    r"""WITH b AS (SELECT DISTINCT doc_id, block_id, text FROM blocks), w AS (SELECT doc_id, block_id, regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}]+)', 1) AS ws FROM b),
+u AS (SELECT doc_id, block_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM w), f AS (SELECT doc_id, block_id, word, min(place) AS place FROM u GROUP BY 1, 2, 3), g AS (SELECT doc_id, block_id, string_agg(word, ' ' ORDER BY place) AS words FROM f GROUP BY 1, 2)
+SELECT b.doc_id, b.block_id, coalesce(g.words, '') AS words FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.block_id = b.block_id""",
+)
 R.add(
     "section_path", "blocks", e.section_paths,
-    """WITH h AS (SELECT DISTINCT doc_id, pos, block_id, text, heading_level FROM blocks WHERE kind = 'heading' AND heading_level BETWEEN 1 AND 3),
-p AS (SELECT h.*, (SELECT max(a.pos) FROM h a WHERE a.doc_id = h.doc_id AND a.pos < h.pos AND a.heading_level = 1) AS p1, (SELECT max(a.pos) FROM h a WHERE a.doc_id = h.doc_id AND a.pos < h.pos AND a.heading_level = 2) AS p2 FROM h)
-SELECT p.doc_id, p.block_id, concat_ws(' > ', CASE WHEN p.heading_level > 1 THEN a.text END, CASE WHEN p.heading_level > 2 AND p.p2 > coalesce(p.p1, -1) THEN b.text END, p.text) AS path FROM p LEFT JOIN h a ON a.doc_id = p.doc_id AND a.pos = p.p1 LEFT JOIN h b ON b.doc_id = p.doc_id AND b.pos = p.p2""",
+    rf"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT DISTINCT doc_id, pos, block_id, trim(text) AS title, heading_level, coalesce(regexp_matches(trim(text), '{BIBLIOGRAPHY}'), false) AS bib FROM blocks WHERE kind = 'heading' AND heading_level BETWEEN 1 AND 3)),
+s AS (SELECT doc_id, block_id, k, bib, title, CASE WHEN bib THEN [] ELSE [title] END AS stack FROM h WHERE k = 1
+UNION ALL SELECT h.doc_id, h.block_id, h.k, h.bib, h.title, CASE WHEN h.bib THEN s.stack ELSE list_append(s.stack[:h.heading_level - 1], h.title) END FROM s JOIN h ON h.doc_id = s.doc_id AND h.k = s.k + 1)
+SELECT doc_id, block_id, array_to_string(CASE WHEN bib THEN list_append(stack, title) ELSE stack END, ' > ') AS path FROM s""",
 )
 R.add(
     "author_token", "citation_records", e.author_tokens,

@@ -24,7 +24,7 @@ R.add("evidence_gate", "findings blocks", f.gate, f"WITH {FI}, {GATE} SELECT id,
 R.add("schema_errors", "findings", f.schema_errors, f"WITH {FI}, {ERRORS} SELECT id, error FROM err WHERE error IS NOT NULL")
 R.add("severity_counts", "findings", f.severity_counts, f"WITH {FI} SELECT severity, verdict, count(*) AS n FROM f GROUP BY CUBE (severity, verdict)")
 R.add("coverage", "findings", f.coverage, f"WITH {FI}, c AS (SELECT doc_id, string_split(checklist_id, '/')[-1] AS chk FROM f) SELECT doc_id, count(DISTINCT chk) AS n_checks, round(count(DISTINCT chk) / (SELECT count(DISTINCT chk) FROM c), 6) AS share, count(*) AS n_findings FROM c GROUP BY 1")
-R.add("finding_rank", "findings", f.ranks, f"WITH {FI}, r AS (SELECT id, row_number() OVER (PARTITION BY doc_id ORDER BY {SEV}, coalesce(confidence, 0) DESC, seq) AS rank FROM f) SELECT id, rank, 'F' || CASE WHEN rank < 1000 THEN lpad(CAST(rank AS VARCHAR), 3, '0') ELSE left(CAST(rank AS VARCHAR), 3) END AS display FROM r")
+R.add("finding_rank", "findings", f.ranks, f"WITH {FI}, r AS (SELECT id, row_number() OVER (PARTITION BY doc_id ORDER BY {SEV}, coalesce(confidence, 0) DESC, seq) AS rank FROM f) SELECT id, rank, 'F' || CASE WHEN rank < 1000 THEN lpad(CAST(rank AS VARCHAR), 3, '0') ELSE CAST(rank AS VARCHAR) END AS display FROM r")
 DET = "coalesce(" + ", ".join(f"CASE WHEN starts_with(i, '{k}') THEN '{v}' END" for k, v in f.DETECTORS.items()) + ", lower(coalesce(source, '')))"
 R.add(
     "stable_uid", "findings", f.uids,

@@ -13,9 +13,12 @@ H = "h AS (SELECT doc_id, pos, block_id, text, heading_level FROM b WHERE kind =
 NORM = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
 WORDS = r"list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}]{2,}|[\x{4e00}-\x{9fff}])', 1)))"
 KIND = "CASE WHEN lower({}) IN ('表', 'table', 'tabelle', 'tableau') THEN 'table' ELSE 'figure' END"
-GAPS = r"""n AS (SELECT doc_id, pos, string_split(replace(regexp_extract(text, '^\s*(\d{1,6}(?:[.\-]\d{1,6})*)[\s、.]+', 1), '-', '.'), '.') AS p FROM h WHERE regexp_matches(text, '^\s*(\d{1,6}(?:[.\-]\d{1,6})*)[\s、.]+')),
-g AS (SELECT doc_id, array_to_string(p[1:len(p) - 1], '.') AS parent, arg_min(CAST(p[-1] AS INT), pos) AS first, max(CAST(p[-1] AS INT)) AS top, list(CAST(p[-1] AS INT)) AS have, count(*) AS k FROM n GROUP BY 1, 2),
-gaps AS (SELECT doc_id, parent, CAST(m AS INT) AS missing FROM (SELECT *, unnest(range(first, top + 1)) AS m FROM g WHERE k >= 2 AND first < top) WHERE NOT list_contains(have, m))"""
+NUMBER = r"^\s*(\d{1,18}(?:[.\-]\d{1,18})*)[\s、.]+"
+CHAPTER = rf"^\s*第([{s.CHAPTERS}])[章节部分]"
+GAPS = f"""n AS (SELECT doc_id, block_id, pos, CASE WHEN regexp_matches(text, '{NUMBER}') THEN string_split(replace(regexp_extract(text, '{NUMBER}', 1), '-', '.'), '.') ELSE [CAST(strpos('{s.CHAPTERS}', regexp_extract(text, '{CHAPTER}', 1)) AS VARCHAR)] END AS p FROM h WHERE regexp_matches(text, '{NUMBER}') OR regexp_matches(text, '{CHAPTER}')),
+many AS (SELECT doc_id FROM h WHERE heading_level > 0 AND trim(text) <> '' GROUP BY 1 HAVING count(*) >= 3),
+g AS (SELECT doc_id, array_to_string(p[1:len(p) - 1], '.') AS parent, arg_min(CAST(p[-1] AS BIGINT), pos) AS first, max(CAST(p[-1] AS BIGINT)) AS top, list(CAST(p[-1] AS BIGINT)) AS have, count(*) AS k FROM n WHERE doc_id IN (SELECT doc_id FROM many) GROUP BY 1, 2),
+gaps AS (SELECT doc_id, parent, m AS missing FROM (SELECT *, unnest(range(first, top + 1)) AS m FROM g WHERE k >= 2 AND first < top) WHERE NOT list_contains(have, m))"""
 MISSING = "missing AS (SELECT * FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce(bool_or(kind = 'heading' AND regexp_matches(text, '{p}')), false) THEN '{n}' END" for n, p in s.REQUIRED.items()) + ") AS missing FROM b GROUP BY 1) WHERE missing <> '')"
 CAPTIONS = f"captions AS (SELECT doc_id, block_id, {KIND.format(f"regexp_extract(text, '{s.CAPTION}', 1)")} AS kind, replace(regexp_extract(text, '{s.CAPTION}', 2), '.', '-') AS label, trim(regexp_extract(text, '{s.CAPTION}', 3)) <> '' AS described FROM b WHERE kind IN ('paragraph', 'caption') AND regexp_matches(text, '{s.CAPTION}'))"
 REFS = f"""r0 AS (SELECT doc_id, block_id, unnest(regexp_extract_all(text, '{s.REFERENCE}', 1)) AS w, unnest(regexp_extract_all(text, '{s.REFERENCE}', 2)) AS x FROM b WHERE NOT is_bibliography AND kind IN ('paragraph', 'list_item', 'table')),
@@ -46,6 +49,7 @@ R.add(
     "heading_fallback", "blocks", s.heading_like,
     rf"WITH {B} SELECT doc_id, block_id FROM b WHERE kind IN ('paragraph', 'list_item') AND length(text) <= 180 AND (regexp_matches(text, '{s.BIBLIOGRAPHY}') OR (regexp_matches(trim(text), '^\d+(?:\.\d+)*[\s、.]+\S') AND NOT regexp_matches(trim(text), '[.。;；:：,，!?！？]$')))",
 )
+R.add("heading_numbers", "blocks", s.heading_numbers, f"WITH {B}, {H}, {GAPS} SELECT doc_id, block_id, pos, array_to_string(p[1:len(p) - 1], '.') AS parent, CAST(p[-1] AS BIGINT) AS n FROM n")
 R.add("heading_gaps", "blocks", s.heading_gaps, f"WITH {B}, {H}, {GAPS} SELECT * FROM gaps")
 R.add(
     "bib_region", "blocks", s.bibliography_region,
