@@ -3,20 +3,23 @@
 Every spelling starts as a profile (family names, given names, initials). Profiles that share a blocking key (family name with
 up to one letter left out, and first initial) are compared; each one that finds a single best compatible richer profile is
 merged into it. A merged profile holds the spellings and initials of all its members, so it enters blocking again under more
-keys; this goes on until a round merges nothing.
+keys; this goes on until a round merges nothing. Only profiles that the last round changed are keyed, joined and compared anew,
+each against all; the others keep their candidates.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 from pyspark.sql.window import Window as W
 
-from folioscope.session import written
+from folioscope.session import discard, written
 
 #: Short forms of given names (fixed values).
 NICKNAMES = {
@@ -122,6 +125,7 @@ def parse(name: str | None) -> tuple[str, str, str, str, str, bool]:
     return ("person", core[-1][1], core[0][1], middle, particle, len(core) == 2)
 
 
+@lru_cache(maxsize=1 << 16)
 def near(a: str, b: str) -> int:
     """0 equal, 1 one edit (insertion, deletion, replacement or swap of neighbours), 2 more."""
     if a == b:
@@ -136,10 +140,12 @@ def near(a: str, b: str) -> int:
     return 1 if a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :] else 2
 
 
+@lru_cache(maxsize=1 << 14)
 def roots(given: str) -> set[str]:
     return ROOTS.get(given, set()) | {given}
 
 
+@lru_cache(maxsize=1 << 14)
 def initials(given: str) -> set[str]:
     """First letters a given name may be cut to, those of its short forms included (D. for Dick for Richard)."""
     return {given[:1]} | {x[0] for r in roots(given) for x in (r, *NICKNAMES.get(r, "").split())}
@@ -209,48 +215,70 @@ def parsed_names(names: DataFrame) -> DataFrame:
     return p.select("name", "kind", F.when(swap, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(swap, F.col("family")).otherwise(F.col("given")).alias("given"), "middle")
 
 
-def resolve_names(records: DataFrame, most_rounds: int = 20) -> DataFrame:
+def _listed(text: str) -> list[str]:
+    return text.split("|") if text else []
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def keys_of(kind: pd.Series, fams: pd.Series, givens: pd.Series) -> pd.Series:
+    return pd.Series([_keys(k, _listed(f), _listed(g)) for k, f, g in zip(kind, fams, givens)], dtype=object)
+
+
+@F.pandas_udf(IntegerType())
+def fit_of(kind: pd.Series, fa: pd.Series, ga: pd.Series, ma: pd.Series, fb: pd.Series, gb: pd.Series, mb: pd.Series) -> pd.Series:
+    return pd.Series([compare(k, *map(_listed, t)) for k, *t in zip(kind, fa, ga, ma, fb, gb, mb)], dtype="int32")
+
+
+def _profiles(label: DataFrame, members: DataFrame) -> DataFrame:
+    """(pid, kind, fams, givens, mids, rank): the union of all spellings of a profile; richer profiles rank higher."""
+    told = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), "|")
+    p = label.join(members.drop("pid"), "name").groupBy("pid").agg(F.first("kind").alias("kind"), told("family").alias("fams"), told("given").alias("givens"), told("middle").alias("mids"), F.sum("n").alias("n"))
+    full = F.exists(F.split("givens", "[|]"), lambda g: F.length(g) > 1).cast("int")
+    return p.select("pid", "kind", "fams", "givens", "mids", F.struct(full.alias("full"), (F.col("mids") != "").cast("int").alias("mid"), "n", "pid").alias("rank"))
+
+
+def _keyed(profiles: DataFrame) -> DataFrame:
+    return profiles.select("pid", "rank", F.explode(keys_of("kind", "fams", "givens")).alias("key"))
+
+
+def _scored(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(pid, to, rank_b, score) of pairs (pid, to) that fit."""
+    right = profiles.select(F.col("pid").alias("to"), F.col("kind").alias("kind_b"), F.col("fams").alias("fb"), F.col("givens").alias("gb"), F.col("mids").alias("mb"), F.col("rank").alias("rank_b"))
+    p = pairs.join(profiles, "pid").join(right, "to").where("kind = kind_b")
+    return p.select("pid", "to", "rank_b", fit_of("kind", "fams", "givens", "mids", "fb", "gb", "mb").alias("score")).where("score > 0")
+
+
+def resolve_names(records: DataFrame) -> DataFrame:
     """(name, entity) for every spelling in authors (columns authors, title) that names someone.
 
     Null arrays, null, blank and wordless elements, and stand-ins such as "et al." are no names. Spellings that differ only in
     case, accents, blanks or word order share a profile from the start. A spelling that fits several profiles equally well goes to
-    the one it shares more works with (equal titles), or to none. Rounds end when nothing merges; most_rounds only guards the loop.
+    the one it shares more works with (equal titles), or to none. Rounds end when nothing merges; each one leaves fewer profiles.
     """
     listed = records.select(F.explode("authors").alias("name"), F.lower(F.regexp_replace("title", r"[^\p{L}\p{N}]+", "")).alias("work")).where("name is not null")
     uses = written(listed.groupBy("name").agg(F.count("*").alias("n")), "names")
     parsed = parsed_names(uses.select("name"))
     first = parsed.withColumn("pid", F.sha1(F.concat_ws("|", "kind", "family", "given", "middle")))
     members = written(first.select("name", "pid", "kind", "family", "given", "middle").join(uses, "name"), "members")
-    works = written(listed.where("length(work) > 5").distinct(), "works")
+    works = written(listed.where("work <> ''").distinct(), "works")
     label = members.select("name", "pid")
 
-    @F.pandas_udf("array<string>")
-    def keys(kind: pd.Series, fams: pd.Series, givens: pd.Series) -> pd.Series:
-        return pd.Series([_keys(k, list(f), list(g)) for k, f, g in zip(kind, fams, givens)], dtype=object)
-
-    @F.pandas_udf("int")
-    def fit(kind: pd.Series, fa: pd.Series, ga: pd.Series, ma: pd.Series, fb: pd.Series, gb: pd.Series, mb: pd.Series) -> pd.Series:
-        return pd.Series([compare(k, *map(list, t)) for k, *t in zip(kind, fa, ga, ma, fb, gb, mb)], dtype="int32")
-
-    for _ in range(most_rounds):
-        rows = label.join(members.drop("pid"), "name")
-        nonempty = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-        profiles = rows.groupBy("pid").agg(F.first("kind").alias("kind"), nonempty("family").alias("fams"), nonempty("given").alias("givens"), nonempty("middle").alias("mids"), F.sum("n").alias("n"))
-        full = F.exists("givens", lambda g: F.length(g) > 1).cast("int")
-        profiles = written(profiles.withColumn("rank", F.struct(full.alias("full"), (F.size("mids") > 0).cast("int").alias("mid"), "n", "pid")), "profiles")
-        keyed = profiles.select("pid", F.explode(keys("kind", "fams", "givens")).alias("key"))
-        shared = keyed.join(keyed.withColumnRenamed("pid", "to"), "key").where("pid <> to").select("pid", "to").distinct()
-        right = profiles.select(F.col("pid").alias("to"), F.col("kind").alias("kind_b"), F.col("fams").alias("fb"), F.col("givens").alias("gb"), F.col("mids").alias("mb"), F.col("rank").alias("rank_b"))
-        pairs = shared.join(profiles, "pid").join(right, "to").where((F.col("rank") < F.col("rank_b")) & (F.col("kind") == F.col("kind_b")))
-        scored = pairs.select("pid", "to", "rank_b", fit("kind", "fams", "givens", "mids", "fb", "gb", "mb").alias("score")).where("score > 0")
+    profiles = written(_profiles(label, members), "profiles")
+    keyed = written(_keyed(profiles), "keys")
+    other = keyed.select("key", F.col("pid").alias("to"), F.col("rank").alias("rank_b"))
+    pairs = keyed.join(other, "key").where(F.col("rank") < F.col("rank_b")).select("pid", "to").distinct()
+    scored = written(_scored(pairs, profiles), "candidates")
+    while True:
         best = scored.withColumn("top", F.max("score").over(W.partitionBy("pid"))).where("score = top").withColumn("ties", F.count("*").over(W.partitionBy("pid")))
-        best = written(best, "candidates")
+        best = written(best, "best")
         tied = best.where("ties > 1").select("pid", "to")
         own = label.join(works, "name").select("pid", "work").distinct()
         common = tied.join(own, "pid").join(own.withColumnRenamed("pid", "to"), ["to", "work"]).groupBy("pid", "to").agg(F.count("*").alias("common"))
-        ranked = tied.join(common, ["pid", "to"], "left").fillna(0, ["common"]).withColumn("k", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("common"), "to"))).withColumn("second", F.lead("common", 1, -1).over(W.partitionBy("pid").orderBy(F.desc("common"), "to")))
+        order = W.partitionBy("pid").orderBy(F.desc("common"), "to")
+        ranked = tied.join(common, ["pid", "to"], "left").fillna(0, ["common"]).withColumn("k", F.row_number().over(order)).withColumn("second", F.lead("common", 1, -1).over(order))
         chosen = ranked.where("k = 1 and common > second and common > 0").select("pid", "to")
         parent = written(best.where("ties = 1").select("pid", "to").unionByName(chosen), "parents")
+        discard(best)
         if parent.isEmpty():
             break
         while True:  # every profile to the root of its tree: ranks rise along parents, so there is no cycle
@@ -260,6 +288,21 @@ def resolve_names(records: DataFrame, most_rounds: int = 20) -> DataFrame:
             if jumped.where("moved").isEmpty():
                 break
         label = written(label.join(parent, "pid", "left").select("name", F.coalesce("to", "pid").alias("pid")), "labels")
+        # what merged is gone, what it merged into is compared anew with everything
+        grown = parent.select(F.col("to").alias("pid")).distinct()
+        touched = written(grown.unionByName(parent.select("pid")), "touched")
+        news = written(_profiles(label.join(grown, "pid", "left_semi"), members), "profiles")
+        all_profiles = written(profiles.join(touched, "pid", "left_anti").unionByName(news), "profiles")
+        new_keys = written(_keyed(news), "keys")
+        all_keys = written(keyed.join(touched, "pid", "left_anti").unionByName(new_keys), "keys")
+        other = all_keys.select("key", F.col("pid").alias("to"), F.col("rank").alias("rank_b"))
+        met = new_keys.join(other, "key").where("pid <> to")
+        rising = F.col("rank") < F.col("rank_b")
+        pairs = met.select(F.when(rising, F.col("pid")).otherwise(F.col("to")).alias("pid"), F.when(rising, F.col("to")).otherwise(F.col("pid")).alias("to")).distinct()
+        kept = scored.join(touched, "pid", "left_anti").join(touched.withColumnRenamed("pid", "to"), "to", "left_anti").select("pid", "to", "rank_b", "score")
+        all_scored = written(kept.unionByName(_scored(pairs, all_profiles)), "candidates")
+        discard(profiles, keyed, scored, news, new_keys, touched)
+        profiles, keyed, scored = all_profiles, all_keys, all_scored
     return label.withColumnRenamed("pid", "entity")
 
 
