@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from folioscope.session import written
 
+#: Iterations end when nothing moves by more than this in a round; needing more rounds than that is an error.
+STILL, MOST_ROUNDS = 1e-4, 200
 POSITIONS = ["claim_first", "evidence_first"]
 YES, NO = ["yes", "y", "true", "1", "是"], ["no", "n", "false", "0", "否"]
 
@@ -57,20 +59,27 @@ def agreement_matrix(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return means, upper.select(both.alias("e"), "s", "n").select("e.i", "e.j", "s", "n")
 
 
-def spectral_reliability(votes: DataFrame, rounds: int = 8) -> DataFrame:
+def spectral_reliability(votes: DataFrame) -> DataFrame:
     """(annotator, n, mean, g): g is the annotator's coordinate of the scaled leading eigenvector, negative for one worse than chance.
 
     An annotator with no item in common with another has g 0. With fewer than three annotators reliability can't be told from
-    votes; agreement with the others then gives g.
+    votes; agreement with the others then gives g. Two steps of the iteration bring g back to its scale, so every second one is
+    compared with the last.
     """
     means, matrix = agreement_matrix(votes)
     means, matrix = written(means, "annotators"), written(matrix, "agreement")
     g = means.select(F.col("annotator").alias("j"), F.lit(1.0).alias("gj"))
-    for k in range(rounds):
-        step = matrix.join(g, "j").groupBy("i").agg((F.sum(F.col("s") * F.col("gj")) / F.nullif(F.sum(F.col("n") * F.col("gj") * F.col("gj")), F.lit(0.0))).alias("gj"))
-        g = step.select(F.col("i").alias("j"), F.coalesce("gj", F.lit(0.0)).alias("gj"))
-        if k % 2 == 1:
-            g = written(g, "eigenvector")
+    for _ in range(MOST_ROUNDS):
+        new = g
+        for _ in range(2):
+            new = matrix.join(new, "j").groupBy("i").agg((F.sum(F.col("s") * F.col("gj")) / F.nullif(F.sum(F.col("n") * F.col("gj") * F.col("gj")), F.lit(0.0))).alias("gj")).select(F.col("i").alias("j"), F.coalesce("gj", F.lit(0.0)).alias("gj"))
+        new = written(new.join(g.withColumnRenamed("gj", "before"), "j"), "eigenvector")
+        moved = new.agg(F.max(F.abs(F.col("gj") - F.col("before"))).alias("by"), F.max(F.abs("gj")).alias("most")).first()
+        g = new.select("j", "gj")
+        if (moved["by"] or 0.0) <= STILL * max(1.0, moved["most"] or 0.0):
+            break
+    else:
+        raise RuntimeError("the power iteration did not settle")
     pair = matrix.join(g, "j").join(g.select(F.col("j").alias("i"), F.col("gj").alias("gi")), "i")
     fit = pair.agg(F.sum(F.col("s") * F.col("gi") * F.col("gj")).alias("a"), F.sum(F.col("n") * (F.col("gi") * F.col("gj")) ** 2).alias("b"), F.sum(F.col("n") * F.col("gi")).alias("sign")).first()
     scale = math.sqrt(max(fit["a"] or 0.0, 0.0) / fit["b"]) if fit and fit["b"] else 0.0
@@ -96,18 +105,22 @@ def _posterior(votes: DataFrame, model: DataFrame, b: float) -> DataFrame:
     return sums.select("item", "n_votes", "raw_mean", (F.col("w") + prior).alias("log_odds"), F.when(F.col("weight") > 0, F.abs("w") / F.col("weight")).otherwise(0.0).alias("agreement"))
 
 
-def consensus(votes: DataFrame, rounds: int = 8, balance_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((item, verdict, confidence, agreement, n_votes), (annotator, n_votes, reliability, hit_yes, hit_no)) of votes (item, annotator, v).
 
     agreement is 1 where all weighted votes point one way and 0 where they cancel out. Exact ties are `no`. Without votes both
     are empty.
     """
     votes = written(votes.select("item", "annotator", "v"), "votes")
-    model = written(spectral_reliability(votes, rounds), "reliability")
+    model = written(spectral_reliability(votes), "reliability")
     b = 0.0
-    for _ in range(balance_rounds):
+    for _ in range(MOST_ROUNDS):  # the share of yes items that the votes tell, given itself
         mean = _posterior(votes, model, b).agg(F.avg(F.tanh(F.col("log_odds") / 2)).alias("b")).first()["b"]
-        b = max(-0.95, min(0.95, mean or 0.0))
+        b, before = max(-0.95, min(0.95, mean or 0.0)), b
+        if abs(b - before) <= STILL * 10:
+            break
+    else:
+        raise RuntimeError("the share of yes items did not settle")
     items = _posterior(votes, model, b)
     sure = 1 / (1 + F.exp(-F.abs("log_odds")))
     items = items.select("item", F.when(F.col("log_odds") > 0, "yes").otherwise("no").alias("verdict"), sure.alias("confidence"), "agreement", "n_votes")
