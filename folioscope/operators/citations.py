@@ -100,13 +100,18 @@ def sites(records: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def citation_findings(records: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, issue, n, sample): all checks of the citations detector, one row a document and issue; sample holds up to 20 numbers."""
-
-    def issue(df: DataFrame, name: str) -> DataFrame:
-        return df.select("doc_id", F.lit(name).alias("issue"), F.col("number").cast("bigint").alias("number"))
-
-    rows = issue(duplicates(records), "duplicate").unionByName(issue(gaps(records), "gap")).unionByName(issue(unused(records, marks), "unused"))
-    rows = rows.unionByName(issue(missing(records, marks), "missing")).unionByName(issue(first_appearance(records, marks), "order"))
+    """(doc_id, issue, n, sample): all checks of the citations detector, one row a document and issue; sample holds up to 20 numbers.
+
+    Entries and cited numbers are counted once each and meet in one join on (doc_id, number); every number then tells its issues.
+    """
+    e = entries_of(records).where("number is not null").groupBy("doc_id", "number").agg(F.count("*").alias("n_entries"))
+    m = mark_numbers(marks).groupBy("doc_id", "number").agg(F.min("seq").alias("first"))
+    j = e.join(m, ["doc_id", "number"], "full").withColumn("both", F.col("n_entries").isNotNull() & F.col("first").isNotNull())
+    before = F.lag("number").over(W.partitionBy("doc_id", "both").orderBy("first", "number"))
+    j = j.withColumn("late", F.col("both") & (F.col("number") < before))
+    issues = F.array_compact(F.array(F.when(F.col("n_entries") > 1, "duplicate"), F.when(F.col("first").isNull(), "unused"), F.when(F.col("n_entries").isNull(), "missing"), F.when(F.col("late"), "order")))
+    rows = j.select("doc_id", F.explode(issues).alias("issue"), F.col("number").cast("bigint").alias("number"))
+    rows = rows.unionByName(gaps(records).select("doc_id", F.lit("gap").alias("issue"), F.col("number").cast("bigint").alias("number")))
     return rows.groupBy("doc_id", "issue").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("number")), 1, 20), ",").alias("sample"))
 
 

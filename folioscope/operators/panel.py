@@ -21,8 +21,8 @@ def judgments_of(judgments: DataFrame) -> DataFrame:
     return j.select("doc_id", "seq", "finding_id", F.lower(F.trim("judge_model")).alias("judge"), name(F.col("position")).alias("position"), name(F.col("verdict")).alias("vote"), "judged_at", "arrived_at")
 
 
-def errors(judgments: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, seq, error): the first rule that a judgment breaks; of several votes of one judge in one position on a finding the first stands."""
+def checked(judgments: DataFrame, findings: DataFrame) -> DataFrame:
+    """judgments_of with error, the first rule that a judgment breaks, null if none; of several votes of one judge in one position on a finding the first stands."""
     ids = findings.select(F.col("id").alias("finding_id")).distinct().withColumn("known", F.lit(True))
     j = judgments_of(judgments).join(ids, "finding_id", "left")
     repeat = F.row_number().over(W.partitionBy("finding_id", "judge", "position").orderBy("doc_id", "seq"))
@@ -30,11 +30,16 @@ def errors(judgments: DataFrame, findings: DataFrame) -> DataFrame:
         F.when(F.col("known").isNull(), "unknown finding").when(F.coalesce("judge", F.lit("")) == "", "no judge").when(~F.coalesce(F.col("position").isin(POSITIONS), F.lit(False)), "unknown position")
         .when(~F.coalesce(F.col("vote").isin(VOTES), F.lit(False)), "unknown vote").when(F.col("turn") > 1, "repeated")
     )
-    return j.withColumn("turn", repeat).select("doc_id", "seq", error.alias("error")).where("error is not null")
+    return j.withColumn("turn", repeat).withColumn("error", error).drop("known", "turn")
+
+
+def errors(judgments: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, seq, error) of the judgments that break a rule."""
+    return checked(judgments, findings).where("error is not null").select("doc_id", "seq", "error")
 
 
 def sound(judgments: DataFrame, findings: DataFrame) -> DataFrame:
-    return judgments_of(judgments).join(errors(judgments, findings), ["doc_id", "seq"], "left_anti")
+    return checked(judgments, findings).where("error is null").drop("error")
 
 
 def verdicts(judgments: DataFrame, findings: DataFrame, required: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioscope.operators import extraction as x
 from folioscope.operators import gate as g
 from folioscope.operators import graph as q
+from folioscope.operators import reading as d
 from folioscope.plans.findings import DET, FI, NORM, PLAIN
 from folioscope.plans.registry import Registry
 
@@ -42,6 +43,22 @@ a AS (SELECT rec_id, 0 AS turn, 'doi' AS found_by, v0 AS v FROM r UNION ALL SELE
 w AS (SELECT DISTINCT identifier, unnest(list_concat({VARIANTS.format("coalesce(identifier, '')")}, {VARIANTS.format("coalesce(doi, '')")})) AS key FROM resolver_metadata)
 SELECT rec_id, arg_min(identifier, (turn, identifier)) AS identifier, arg_min(found_by, (turn, identifier)) AS found_by FROM k JOIN w USING (key) GROUP BY 1""",
 )
+ONE = lambda name, pattern: f"""SELECT doc_id, block_id, '{name}' AS pattern, unnest(regexp_extract_all(text, '{pattern}', 1)) AS author, unnest(regexp_extract_all(text, '{pattern}', 2)) AS year, unnest(range(1, len(regexp_extract_all(text, '{pattern}', 1)) + 1)) AS place FROM b"""
+R.add(
+    "author_year_citations", "blocks", d.author_year_citations,
+    f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text FROM blocks WHERE NOT is_bibliography AND kind <> 'biblio_entry' AND text IS NOT NULL), m AS ({" UNION ALL ".join(ONE(n, p.replace("'", "''")) for n, p in d.AUTHOR_YEAR.items())})
+SELECT doc_id, block_id, pattern, CAST(place AS INT) AS place, lower(trim(regexp_replace(string_split_regex(author, '{d.FIRST_AUTHOR}')[1], '{d.ET_AL}', ''), ' .') || '|' || year) AS key FROM m""",
+)
+R.add(
+    "headings_by_look", "blocks", d.headings_by_look,
+    rf"""WITH b AS (SELECT DISTINCT doc_id, block_id, trim(text) AS t FROM blocks WHERE kind IN ('paragraph', 'list_item') AND trim(text) <> ''), n AS (SELECT *, regexp_extract(t, '^(\d+(?:[.\-]\d+)*)', 1) AS num FROM b),
+l AS (SELECT doc_id, block_id, CAST(CASE WHEN length(t) > 180 THEN NULL WHEN regexp_matches(t, '{d.NAMED}') THEN 1 WHEN regexp_matches(t, '{d.NUMBERED}') THEN CASE WHEN NOT regexp_matches(t, '{d.SENTENCE_END}') THEN length(num) - length(regexp_replace(num, '[.\-]', '', 'g')) + 1 END WHEN length(t) <= 90 AND regexp_matches(t, '{d.CAPITALS}') THEN 1 END AS INT) AS level FROM n) SELECT * FROM l WHERE level IS NOT NULL""",
+)
+R.add(
+    "id_variants", "resolver_metadata", d.work_identifiers,
+    f"""WITH w AS (SELECT DISTINCT identifier, doi FROM resolver_metadata) SELECT identifier, unnest(list_distinct(list_concat({VARIANTS.format("coalesce(identifier, '')")}, {VARIANTS.format("coalesce(doi, '')")}))) AS variant FROM w""",
+)
+R.add("reference_fields", "citation_records", d.reference_fields)
 R.add("numeric_facts", "blocks", x.facts)
 R.add("value_conflicts", "blocks", lambda b: x.value_conflicts(x.facts(b)))
 R.add("f1_check", "blocks", lambda b: x.f1_conflicts(x.facts(b)))

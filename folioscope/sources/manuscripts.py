@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.session import written
+
 BLOCK = "doc_id string, pos int, block_id string, kind string, text string, section_path array<string>, style_name string, heading_level int, is_bibliography boolean, cell_rows array<array<string>>, page int, bbox array<double>"
 ERROR = "error string"
 #: A part of a package or a TEI file above so many bytes is not parsed.
@@ -198,7 +200,7 @@ def read_manuscripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
                     rows = [(doc_id or name, *[None] * 11, str(e)[:300], where)]
                 yield pd.DataFrame(rows, columns=[*names, "error", "path"]).astype({"pos": "Int32", "heading_level": "Int32", "page": "Int32"})
 
-    rows = files.mapInPandas(parse, f"{BLOCK}, {ERROR}, path string")
+    rows = written(files.mapInPandas(parse, f"{BLOCK}, {ERROR}, path string"), "manuscripts")  # every file is parsed once for both
     return rows.where("error is null").drop("error", "path"), rows.where("error is not null").select("doc_id", "path", "error")
 
 

@@ -52,15 +52,31 @@ def running_last(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_type string, value double, n bigint", "at bigint, event bigint, kind string, value double, n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Parts of a kept table by hash of its key.
+PARTS = 64
+
+
 def keep_last(events: DataFrame, table: str, checkpoint: str):
-    """Start a query that keeps the last event of every user as Parquet versions below `table`, one a batch, each complete."""
+    """Start a query that keeps the last event of every user as a Parquet table, split into PARTS by hash of the user.
+
+    A batch rewrites only the parts whose users it holds; doing it again after a failure gives the same rows. A new state is
+    written beside the table before it takes its place.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("user_id", "ts", "event_id", "event_type", "value")
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{table}/v{number - 1}").select(new.columns))
-        last = new.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("x"))
-        last.select("user_id", "x.*").write.mode("overwrite").parquet(f"{table}/v{number}")
+        new = batch.select("user_id", "ts", "event_id", "event_type", "value", F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int").alias("part"))
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS rows
+        if not touched:
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            new = new.unionByName(spark.read.parquet(table).where(F.col("part").isin(touched)).select(new.columns))
+        last = new.groupBy("part", "user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("x"))
+        last.select("part", "user_id", "x.*").write.mode("overwrite").parquet(f"{table}-next")
+        stage = spark.read.parquet(f"{table}-next")
+        stage.write.mode("overwrite").partitionBy("part").option("partitionOverwriteMode", "dynamic").parquet(table)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}-next"), True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
