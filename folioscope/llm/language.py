@@ -27,7 +27,7 @@ TRAIN_DOCS, TRAIN_CHARS = 300, 50_000
 #: A mask holds so many languages at most.
 MOST_LANGUAGES = 64
 #: Documents are read together up to about so many characters.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 15
 #: Slots of the filters and hash functions a gram.
 SLOTS, HASHES = 1 << 21, 3
 ORDERS = (3, 5)
@@ -43,8 +43,9 @@ FULL_LETTERS = 24
 ISO3 = {"eng": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl", "rus": "ru", "jpn": "ja", "kor": "ko", "pol": "pl", "swe": "sv", "ara": "ar"}
 SENTENCE = re.compile(r"(?<=[.!?。！？；])(?=\s|[^\x00-\x7F])|(?<=[.!?])[\"”’)]+(?=\s)|\n+")
 #: Quoted, bracketed or dashed-off phrases say little about the language of their sentence; none runs over a line's end.
-ASIDE = re.compile(r"[(（]?[^\S\n]*[“\"«‹「『][^“”\"«»‹›「」『』\n]{1,200}[”\"»›」』][^\S\n]*[)）]?|(?<=[^\S\n])[–—] [^–—\n]{1,200} [–—](?=[^\w\n])")
-ACCENT, OTHER, LETTER = re.compile(r"[\u0300-\u036f]+"), re.compile(r"(?:[^\w\n]|[\d_])+"), re.compile(r"[^\W\d_]")
+QUOTED = re.compile(r"[“\"«‹「『][^“”\"«»‹›「」『』\n]{1,200}[”\"»›」』]")
+DASHED = re.compile(r"[–—](?<=[^\S\n][–—]) [^–—\n]{1,200} [–—](?=[^\w\n])")
+ACCENT, OTHER, LETTER = re.compile(r"[\u0300-\u036f]+"), re.compile(r"(?:[^\w\n]+|[\d_]+)+"), re.compile(r"[^\W\d_]")
 
 
 def label_code(label: Column, codes: dict[str, str]) -> Column:
@@ -60,6 +61,12 @@ def known_labels(languages: list[tuple[str, str]]) -> dict[str, str]:
     return out | {iso: code for iso, code in ISO3.items() if code in {c for c, _ in languages}}
 
 
+def plain(text: str) -> str:
+    """The text without quoted and dashed-off phrases."""
+    text = QUOTED.sub(" ", text)
+    return DASHED.sub(" ", text) if "–" in text or "—" in text else text
+
+
 def letters(text: str) -> list[str]:
     """Every line in lower case, without accents, every run of other characters than letters one blank, and one at both ends."""
     t = text.lower()
@@ -73,20 +80,22 @@ def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     line = np.repeat(np.arange(len(lines), dtype=np.int32), [len(x) for x in lines])
     hashes, lines_of = [], []
     han = (c >= 0x4E00) & (c <= 0x9FFF)
+    sizes = {*ORDERS, 1, 2} if han.any() else set(ORDERS)
+    h = np.zeros(len(c), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for n in (*ORDERS, 1, 2) if han.any() else ORDERS:
-            if len(c) < n:
-                continue
-            h = np.full(len(c) - n + 1, n, dtype=np.uint64)
-            for j in range(n):
-                h *= np.uint64(0x9E3779B97F4A7C15)
-                h += c[j : len(c) - n + 1 + j]
-                h ^= h >> np.uint64(29)
-            keep = line[: len(h)] == line[n - 1 :]
-            if n < 3:
-                keep &= han[: len(h)] & han[n - 1 :]
-            hashes.append(h[keep])
-            lines_of.append(line[: len(h)][keep])
+        for n in range(1, max(ORDERS) + 1):  # the hash of n characters goes on from that of n - 1
+            h = h[: len(c) - n + 1]
+            if not len(h):
+                break
+            h += c[n - 1 :]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            if n in sizes:
+                keep = line[: len(h)] == line[n - 1 :]
+                if n < 3:
+                    keep &= han[: len(h)] & han[n - 1 :]
+                hashes.append(h[keep] + np.uint64(n))
+                lines_of.append(line[: len(h)][keep])
     return (np.concatenate(hashes), np.concatenate(lines_of)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
@@ -114,7 +123,7 @@ def fit_filters(documents: DataFrame, languages: list[str], labels: dict[str, st
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for code, group in b.groupby("code"):
-                each = [np.unique(grams(letters(ASIDE.sub(" ", t.replace("\n", " "))))[0]) for t in group["text"]]
+                each = [np.unique(grams(letters(plain(t.replace("\n", " "))))[0]) for t in group["text"]]
                 h, n = np.unique(np.concatenate(each), return_counts=True)
                 yield pd.DataFrame({"h": h.view(np.int64), "code": code, "n": n.astype(np.int64)})
                 yield pd.DataFrame({"h": np.zeros(1, np.int64), "code": f"#{code}", "n": np.array([len(each)], np.int64)})
@@ -153,7 +162,7 @@ def false_positives(table: np.ndarray, n: int) -> np.ndarray:
 def scores(parts: list[str], table: np.ndarray, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hits of each sentence (row) in each language (column), corrected for false positives, letters of each sentence)."""
     text = "\n".join(parts)
-    prepared = letters(ASIDE.sub(" ", text))
+    prepared = letters(plain(text))
     prepared = [a if len(a) > 4 else letters(p)[0] for a, p in zip(prepared, parts)]
     h, who = grams(prepared)
     total = np.bincount(who, minlength=len(parts))
@@ -162,17 +171,23 @@ def scores(parts: list[str], table: np.ndarray, wrong: np.ndarray) -> tuple[np.n
         mask = some if k == 0 else mask & some
         known = mask != 0
         h, who, mask = h[known], who[known], mask[known]
-    one = table.dtype.type(1)
-    hits = np.stack([np.bincount(who[((mask >> table.dtype.type(i)) & one).astype(bool)], minlength=len(parts)) for i in range(len(wrong))], 1)
+    hits = _by_language(mask, who, len(parts), len(wrong))
     size = np.array([len(p) - p.count(" ") if p.isascii() else sum(4 if "一" <= c <= "鿿" else c != " " for c in p) for p in prepared])
     return np.maximum(0.0, (hits - total[:, None] * wrong) / (1 - wrong)), size
 
 
+def _by_language(mask: np.ndarray, who: np.ndarray, n: int, languages: int) -> np.ndarray:
+    """How many grams of each sentence have each language's bit."""
+    one = mask.dtype.type(1)
+    return np.stack([np.bincount(who[((mask >> mask.dtype.type(i)) & one).astype(bool)], minlength=n) for i in range(languages)], 1)
+
+
 def best_path(score: np.ndarray, change: float = CHANGE) -> np.ndarray:
     """The language of every sentence: most hits in all, less the price of each change."""
     n, m = score.shape
-    if n == 1 or (score.argmax(1) == (top := int(score.sum(0).argmax()))).all():
-        return np.full(n, int(score.sum(0).argmax()) if n == 1 else top)
+    top = int(score.sum(0).argmax())
+    if score.max(1).sum() - score[:, top].sum() <= change:  # no change can bring its price
+        return np.full(n, top)
     total, back = score[0].copy(), np.zeros((n, m), dtype=np.int64)
     for i in range(1, n):
         top = int(total.argmax())
