@@ -51,5 +51,15 @@ def test_core_runs_without_the_subpackage():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['folioscope.llm'] = None; import folioscope.plans.problems, folioscope.plans.findings, folioscope.plans.structure, folioscope.plans.citations"
-    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True).returncode == 0
+    code = """
+import sys
+sys.modules['folioscope.llm'] = None
+import __spark_entry__ as entry
+from folioscope.session import local_session
+names = entry.queries()
+assert 'p4_found' in names and 'p1_found' not in names and set(entry.oracle_sql()) <= set(names)
+spark = local_session(2, 2)
+assert names['cite_gaps'](spark, '/root/testdata/sf0.001').count() >= 0 and entry.entry(spark).count() > 0
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
