@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import written
+
 AND, BRACKETS, YEAR_JOIN, SPACE, CUT = "\ue000", "\ue001", "\ue002", "\ue003", "\u001f"
 #: Candidate delimiters by notation. The bar is no candidate in author-year keys: it stands between name and year.
 CANDIDATES = {
@@ -153,13 +155,14 @@ def split_marks(marks: DataFrame, salt: int = 16) -> DataFrame:
     columns of the input are ignored. A document with very many marks is spread over `salt` tasks throughout.
     """
     part = F.pmod(F.xxhash64("seq"), F.lit(salt)).cast("int")
-    m = marks.select("doc_id", "seq", "raw", "key", F.coalesce("doc_id", F.lit("\x00")).alias("source"), part.alias("part")).repartition("source", "part").distinct()
+    m = marks.select("doc_id", "seq", "raw", "key", F.coalesce("doc_id", F.lit("\x00")).alias("source"), part.alias("part")).distinct()
     has_key = F.length(F.trim(F.coalesce("key", F.lit("")))) > 0
     m = m.withColumn("kind", _kind(F.col("key"), F.coalesce("raw", F.lit("")))).withColumn("field", F.when(has_key, F.col("key")).otherwise(F.col("raw")))
     m = m.where(F.length(F.trim("field")) > 0)
-    m = m.withColumn("v", _prepared(F.col("field"), F.col("kind")))
     other = F.when(has_key & (F.length(F.trim(F.coalesce("raw", F.lit("")))) > 0), _prepared(F.col("raw"), F.when(F.col("kind") == "num", "num").otherwise("ay_raw")))
-    scored = delimiter_scores(m.select("source", "kind", "v", other.alias("other"))).where("accepted")
+    # prepared once, for the scores and for the split
+    m = written(m.select("doc_id", "seq", "source", "part", "kind", _prepared(F.col("field"), F.col("kind")).alias("v"), other.alias("other")), "marks")
+    scored = delimiter_scores(m.select("source", "kind", "v", "other")).where("accepted")
     accepted = (
         scored.groupBy("source").agg(F.collect_list(F.struct("kind", "delimiter")).alias("delimiters"))  # at most all candidates
         .select("source", "delimiters", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("part"))
