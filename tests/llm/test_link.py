@@ -88,3 +88,19 @@ def test_blocking_recall(spark):
     a, b = [x.asDict() for x in left.collect()], [x.asDict() for x in right.collect()]
     like = {(x["rec_id"], y["identifier"]) for x in a for y in b if m.title_similarity(m.cut(x["tokens"]), m.cut(y["tokens"]), m.cut(x["numbers"]), m.cut(y["numbers"])) >= 0.9}
     assert len(like) > 100 and len(like & got) >= 0.99 * len(like)
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Spark's threshold is far above its estimate of these tables, which leaves out how many keys a title has."""
+    from folioscope.llm import link as m
+
+    plans, real = [], m.written
+
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(m, "written", written)
+    rows = [(i, title, authors, year, None, None, None) for i, (_, title, authors, year, _) in enumerate(works())]
+    assert link(spark.createDataFrame(rows, R), spark.createDataFrame(works(), W)).count() > 150
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
