@@ -153,7 +153,8 @@ def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> Da
     most = (1 - least) * (F.length("ta") + F.length("tb")) + 1e-6
     bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(sum(SKETCH.values()))]
     near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (sum(bits[SKETCH[1] :], F.lit(0)) <= 3 * most) & (sum(bits[: SKETCH[1]], F.lit(0)) <= most)
-    pairs = spread(titles.join(others, ["k", "part"]).where(near).select("ta", "ya", "identifier", "tb", "yb"))
+    # Spark reckons the listed works at the size of their titles alone and would broadcast them
+    pairs = spread(titles.join(others.hint("merge"), ["k", "part"]).where(near).select("ta", "ya", "identifier", "tb", "yb"))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -167,7 +168,7 @@ def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> Da
 
     s = pairs.select("ta", "ya", "identifier", (ratio("ta", "tb") - F.when(F.col("ya") != F.col("yb"), 0.2).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
     best = s.groupBy(F.col("ta").alias("t"), F.col("ya").alias("y")).agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
-    return r.join(best, (F.col("ta") == F.col("t")) & F.col("ya").eqNullSafe(F.col("y"))).select("rec_id", "x.identifier", F.round("x.score", 6).alias("score"))
+    return r.join(best.hint("merge"), (F.col("ta") == F.col("t")) & F.col("ya").eqNullSafe(F.col("y"))).select("rec_id", "x.identifier", F.round("x.score", 6).alias("score"))
 
 
 def normal_texts(findings: DataFrame) -> DataFrame:
