@@ -1,5 +1,8 @@
 import random
 from collections import Counter
+from fractions import Fraction
+
+import numpy as np
 
 from folioscope.llm import neardup
 from folioscope.llm.neardup import duplicate_classes, duplicate_pairs, words_of
@@ -94,3 +97,76 @@ def test_answers_of_followers(spark):
     for least in (0.6, 0.7, 0.85):
         got = [(x.a, x.b) for x in duplicate_pairs(df, "id", COLS, least).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, least)
+
+
+def meeting(sets, t, near, two):
+    """The sets (sorted by size) as one group, or as two halves, as the entries of a task."""
+    counts = Counter(w for s in sets for w in s)
+    n = np.array([len(s) for s in sets])
+    side = (np.arange(len(sets)) >= len(sets) // 2).astype(np.int8) if two else np.zeros(len(sets), np.int8)
+    words, length, limit, bits = [], [], [], np.zeros((len(sets), 256), np.uint8)
+    for k, s in enumerate(sets):
+        for w in s:
+            bits[k, w * 7919 % 256] ^= 1
+        others = n[side != side[k]] if two else n
+        _, need = neardup._partners(n[k : k + 1], int(others.min()), int(others.max()), t, near)
+        alone = sum(counts[w] == 1 for w in s)
+        limit.append(int(n[k] - need[0] - alone))
+        words += sorted(s, key=lambda w: (counts[w], w))[alone:]
+        length.append(len(s) - alone)
+    rows = {"n": n, "side": side, "lim": np.array(limit), "len": np.array(length), "words": np.array(words, np.int32), "bits": np.packbits(bits, axis=1).view(np.uint64)}
+    return neardup.Meeting(rows, t, near, two)
+
+
+def test_long_lists_are_split(monkeypatch):
+    """Sets made of few phrases: lists of one word hold many sets, so the pairs that are tested must be few beside those of the lists."""
+    r = random.Random(5)
+    phrases = [r.sample(range(400), 3) for _ in range(60)]
+    sets = []
+    while len(sets) < 900:
+        s = {w for p in r.sample(phrases, r.randint(6, 12)) for w in p} | {1000 + r.randrange(300) for _ in range(2)}
+        sets += [s] + [(s - set(r.sample(sorted(s), 2))) | {2000 + r.randrange(99)} for _ in range(r.choice([0, 0, 0, 1]))]
+    sets = sorted(sets, key=len)
+    tested = [0]
+
+    def counted(self, doc, start, right, end):
+        tested[0] += int(((right - start) * (end - right)).sum() if self.two else ((end - start) * (end - start - 1) // 2).sum())
+        return together(self, doc, start, right, end)
+
+    def tiled(self, a, b):
+        tested[0] += len(a) * len(b) if self.two else len(a) * (len(a) - 1) // 2
+        return tiles(self, a, b)
+
+    together, tiles = neardup.Meeting.together, neardup.Meeting.tiles
+    monkeypatch.setattr(neardup.Meeting, "together", counted)
+    monkeypatch.setattr(neardup.Meeting, "tiles", tiled)
+    for t, near, two in ((Fraction(7, 10), 0, False), (Fraction(7, 10), 0, True), (Fraction(8, 10), 2, False), (Fraction(3, 10), 0, False)):
+        want = set()
+        for j in range(len(sets)):
+            for i in range(len(sets) // 2 if two and j >= len(sets) // 2 else 0 if two else j):
+                a, b, both = len(sets[i]), len(sets[j]), len(sets[i] & sets[j])
+                if (not two or j >= len(sets) // 2) and both >= neardup._least(a, b, t) - near and (b - near) * t <= a + near:
+                    want.add((i, j))
+        seen = []
+        for many in (10**9, 200):
+            for k, v in (("MANY", many), ("FEW", 10**8 if many > 10**8 else 50), ("TILE", 8), ("CHUNK", 1 << 10)):
+                monkeypatch.setattr(neardup, k, v)
+            tested[0] = 0
+            got = set(zip(*meeting(sets, t, near, two).pairs().tolist()))
+            assert want and want <= got
+            seen.append(tested[0])
+        if t == Fraction(7, 10):
+            assert seen[1] < 0.7 * seen[0]
+
+
+def test_groups_of_sizes(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    sizes = {1: 3, 2: 4, 5: 95, 6: 2, 9: 1, 1 << 16: 7}
+    low, high, first, parts = neardup._groups(sizes)
+    held = Counter()
+    for n, c in sizes.items():
+        for k in range(c):
+            g = first[n] + k % parts[n]
+            assert low[g] <= n <= high[g]
+            held[g] += 1
+    assert max(held.values()) <= 20 and len(held) == len(low) and parts[5] == 10
