@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folioscope.functions.text import norm_ws, plain, word_set
 from folioscope.operators.findings import linked_classes, rated
 from folioscope.operators.running import running_last, running_min, running_sum
 from folioscope.operators.structure import BIBLIOGRAPHY, numbered_sections
+from folioscope.operators.titles import Tile
 from folioscope.session import spread, written
 
-#: Longs of a title's parity bits by the length of the character sequences they stand for; parts of a list of works (fixed values).
-SKETCH = {1: 4, 2: 8}
-PARTS = 8
+#: Records and works of a year that meet in one tile, about.
+TITLES, WORKS = 16384, 8192
 
 
 def claims(marks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -103,71 +103,63 @@ def differences(edits: DataFrame, blocks: DataFrame, findings: DataFrame) -> Dat
     return j.select("id", count("text", "new_text").alias("c")).select("id", "c.*")
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def sketches(texts: pd.Series) -> pd.Series:
-    """Parity bits of the multisets of characters and of pairs of characters, as many longs of each as SKETCH says."""
-
-    def one(t: str) -> list[int]:
-        out: list[int] = []
-        for n, longs in SKETCH.items():
-            seen, bits = Counter(), 0
-            for i in range(len(t) - n + 1):
-                seen[t[i : i + n]] += 1
-                bits ^= 1 << zlib.crc32(f"{t[i : i + n]}{seen[t[i : i + n]]}".encode()) % (64 * longs)
-            out += [(bits >> 64 * k) % (1 << 64) - (1 << 63) for k in range(longs)]
-        return out
-
-    return texts.map(one)
-
-
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel: no fewer characters than a sequence matcher matches."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = left = (1 << len(a)) - 1
-    for c in b:
-        u = left & at.get(c, 0)
-        left = ((left + u) | (left - u)) & full
-    return len(a) - left.bit_count()
+def tile_parts(df: DataFrame, size: int, others: str, all_: bool) -> tuple[dict[str, int], int]:
+    """(parts by year, parts of all rows) of at most about size rows; years of one part are left out, rows without year are under others."""
+    n = df.groupBy("year").count().select(F.when(F.col("year").isNull(), others).when(F.col("count") > size, F.col("year").cast("string")).alias("k"), "count")
+    rows = {r["k"]: r["n"] for r in n.groupBy("k").agg(F.sum("count").alias("n")).collect()}  # no more rows than there are parts
+    return {k: -(-v // size) for k, v in rows.items() if k is not None and v > size}, max(1, -(-sum(v for k, v in rows.items() if all_ or k != others) // size))
 
 
 def best_titles(records: DataFrame, works: DataFrame, least: float = 0.84) -> DataFrame:
     """(rec_id, identifier, score): the work of most similar title of each record, if near enough.
 
     Similarity is the sequence matcher's ratio of normalised titles less 0.2 for another year; titles without letter or digit have
-    none. No pair of a score of at least `least` is lost: where 0.2 less cannot reach it, works of another year are not looked at. If u
+    none. No pair of a score of at least `least` is lost: where 0.2 less cannot reach it, works of another year are not looked at, and a
+    title with an equal one of its year, which nothing can exceed, needs no other. The rest meet in tiles of titles and works. If u
     characters of both titles match nothing, their multisets of characters differ in at most u, those of pairs in at most 3u elements,
-    and parity bits of multisets differ in no more bits than the multisets in elements.
+    and bits of counts differ in no more bits than the multisets in elements. Counts the rows of each year when it is called.
     """
-    at_year = 1 - 0.2 < least
+    less = 0.2
+    at_year = 1 - less < least
     r = records.dropDuplicates(["rec_id"]).select("rec_id", plain(F.col("title")).alias("ta"), F.col("year").alias("ya")).where("ta <> ''")
     w = works.dropDuplicates(["identifier"]).select("identifier", plain(F.col("title")).alias("tb"), F.col("year").alias("yb")).where("tb <> ''")
     w = w.groupBy("tb", "yb").agg(F.max("identifier").alias("identifier"))
+    t = r.select("ta", "ya").distinct()
+    same_year = F.col("ya").isNull() | F.col("yb").isNull() | (F.col("ya") == F.col("yb"))
+    t = t.join(w.hint("merge"), F.col("ta") == F.col("tb"), "left").groupBy("ta", "ya").agg(F.max(F.when(same_year, F.col("identifier"))).alias("equal"))
+
     # works without year are listed under ?, all others under their year and, for records without year, under *
+    nt, all_titles = tile_parts(records, TITLES, "*", True)
+    nw, dated = tile_parts(works, WORKS, "?", False)
+    nt, nw = (nt | {"?": all_titles}, nw | {"*": dated}) if at_year else ({"": all_titles}, {"": tile_parts(works, WORKS, "?", True)[1]})
+    parts = lambda n, k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in n.items() for x in kv]), k), F.lit(1))
     year = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
     asked = F.array(year("ya", "*"), F.lit("?")) if at_year else F.array(F.lit(""))
     listed = F.when(F.col("yb").isNull(), F.array(F.lit("?"))).otherwise(F.array(year("yb", "?"), F.lit("*"))) if at_year else F.array(F.lit(""))
-    titles = spread(r.select("ta", "ya").distinct()).select("ta", "ya", sketches("ta").alias("sa")).select("*", F.explode(asked).alias("k"), F.pmod(F.xxhash64("ta"), F.lit(PARTS)).alias("part"))
-    others = spread(w).select("identifier", "tb", "yb", sketches("tb").alias("sb")).select("*", F.explode(listed).alias("k")).select("*", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(PARTS)])).alias("part"))
-    most = (1 - least) * (F.length("ta") + F.length("tb")) + 1e-6
-    bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(sum(SKETCH.values()))]
-    near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (sum(bits[SKETCH[1] :], F.lit(0)) <= 3 * most) & (sum(bits[: SKETCH[1]], F.lit(0)) <= most)
-    # Spark reckons the listed works at the size of their titles alone and would broadcast them
-    pairs = spread(titles.join(others.hint("merge"), ["k", "part"]).where(near).select("ta", "ya", "identifier", "tb", "yb"))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            if x == y:
-                return 1.0
-            possible = 2 * common_length(x, y) / (len(x) + len(y))
-            return difflib.SequenceMatcher(None, x, y).ratio() if possible >= least else possible
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    s = pairs.select("ta", "ya", "identifier", (ratio("ta", "tb") - F.when(F.col("ya") != F.col("yb"), 0.2).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
-    best = s.groupBy(F.col("ta").alias("t"), F.col("ya").alias("y")).agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
+    k, settled = F.col("k"), F.col("equal").isNotNull()
+    at = lambda c, n: F.pmod(F.xxhash64(c), parts(n, k)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), parts(n, k) - 1)
+    titles = t.select("ta", "ya", "equal", F.explode(F.when(settled, F.slice(asked, 1, 1)).otherwise(asked)).alias("k"))
+    titles = titles.select("ta", "ya", "equal", "k", at("ta", nt).alias("i"), F.explode(F.when(settled, F.array(F.lit(0))).otherwise(each(nw))).alias("j"))
+    others = w.select("identifier", "tb", "yb", F.explode(listed).alias("k"))
+    others = others.select("identifier", "tb", "yb", "k", F.explode(each(nt)).alias("i"), at("tb", nw).alias("j"))
+    kinds = {f.name: f.dataType for f in [*r.schema, *w.schema]}
+    schema = StructType([StructField("t", kinds["ta"]), StructField("y", kinds["ya"]), StructField("identifier", kinds["identifier"]), StructField("score", DoubleType())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        equal, rest = a.filter(pc.is_valid(a["equal"])), a.filter(pc.is_null(a["equal"]))
+        found = []
+        if len(rest) and len(b):
+            columns = [x.to_pylist() for x in (rest["ta"], rest["ya"], b["tb"], b["yb"], b["identifier"])]
+            found = Tile(*columns, least, less).best()
+        x = rest.select(["ta", "ya"]).take(pa.array([i for i, _, _ in found], pa.int64()))
+        near = [x["ta"], x["ya"], pa.chunked_array([pa.array([key for _, key, _ in found], a["equal"].type)]), pa.chunked_array([pa.array([s for _, _, s in found], pa.float64())])]
+        sure = [equal["ta"], equal["ya"], equal["equal"], pa.chunked_array([pa.array([1.0] * len(equal), pa.float64())])]
+        return pa.concat_tables([pa.table(c, names=schema.names) for c in (near, sure)])
+
+    tile = ["k", "i", "j"]
+    s = spread(titles, *tile).groupBy(tile).cogroup(spread(others, *tile).groupBy(tile)).applyInArrow(meet, schema)
+    best = s.groupBy("t", "y").agg(F.max_by(F.struct("identifier", "score"), F.struct("score", "identifier")).alias("x"))
     return r.join(best.hint("merge"), (F.col("ta") == F.col("t")) & F.col("ya").eqNullSafe(F.col("y"))).select("rec_id", "x.identifier", F.round("x.score", 6).alias("score"))
 
 
