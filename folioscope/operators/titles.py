@@ -13,7 +13,7 @@ BUCKETS = {1: 256, 2: 1024}
 LEVELS = {1: 16, 2: 2}
 #: Titles of one length and works compared in a step, pairs kept before they are looked at, pairs whose subsequences are computed together,
 #: characters after which those that cannot be long enough are left out and the window moves.
-ROWS, COLUMNS, KEPT, BATCH, CHECK = 16, 4096, 200_000, 2048, 12
+ROWS, COLUMNS, KEPT, BATCH, CHECK = 16, 4096, 400_000, 32_768, 8
 #: Slack for sums of floating point numbers.
 EPS = 1e-6
 #: From this length of the second text on the sequence matcher leaves out frequent characters (difflib's constant).
